@@ -2,16 +2,16 @@
 
 1. Each text becomes the set of its 5-word shingles (64-bit hashes). Texts of
    one set are one class, and only the class's first text goes on.
-2. Each class gets 16 min-hashes (independent hash orders) and a 128-bit
-   signature, one bit of the least hash of each of 128 bins. Two sets of
-   similarity s share a min-hash with chance s, and s >= 0.7 lets all 16 differ
-   once in 230 million pairs; their signatures differ in 128 (1 - s) / 2 bits on
-   average, so a radius of 48 bits lies seven deviations above s = 0.7.
-3. Classes meet in the blocks of equal min-hashes. A block is compared in tiles
+2. Each class gets 24 block keys, each made of 2 min-hashes of independent hash
+   orders, and a 128-bit signature, one bit of the least hash of each of 128
+   bins. Two sets of similarity s share a key with chance s^2, so s >= 0.7 lets
+   all 24 differ once in ten million pairs at most; their signatures differ in
+   128 (1 - s) / 2 bits on average, so a radius of 40 bits lies five deviations
+   above s = 0.7, while unrelated texts come within it once in 60,000.
+3. Classes meet in the blocks of equal keys. A block is compared in tiles
    sorted by population count: one numpy exclusive-or and bit count a tile
    pair, and tile pairs whose population counts differ by more than the radius,
-   or whose set sizes alone rule the similarity out, are skipped. Two texts are
-   compared in the block of their first common min-hash only.
+   or whose set sizes alone rule the similarity out, are skipped.
 4. A block of more than ``block_rows`` classes is cut into salted parts, and
    each pair of parts is a task's work of its own, so no task holds more than
    two parts however common a shingle is.
@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut
 
 SHINGLE = 5
-KEYS = 16
-RADIUS = 48
+KEYS, ROWS = 24, 2
+RADIUS = 40
 TILE = 512
 _NOT_WORD = re.compile("[^a-z0-9 ]+")
-_ODD = np.random.default_rng(20240601).integers(1, 1 << 63, size=(KEYS + SHINGLE + 1,), dtype=np.uint64) | np.uint64(1)
+_ODD = np.random.default_rng(20240601).integers(1, 1 << 63, size=(KEYS * ROWS + SHINGLE + 1,), dtype=np.uint64) | np.uint64(1)
 
 
 def words_of(text: str) -> list[str]:
@@ -67,7 +67,7 @@ def shingles(text: str | None) -> np.ndarray:
     n = max(1, len(h) - SHINGLE + 1)
     out = np.full(n, np.uint64(min(len(h), SHINGLE)), dtype=np.uint64)
     for i in range(min(SHINGLE, len(h))):
-        out = out * _ODD[KEYS + i] + h[i : i + n]
+        out = out * _ODD[KEYS * ROWS + i] + h[i : i + n]
     return np.unique(_mix(out))
 
 
@@ -79,13 +79,15 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each (not empty) set its 16 min-hashes and its 128-bit signature as two words."""
+    """Of each (not empty) set its block keys and its 128-bit signature as two words."""
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
     flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
     keys = np.empty((len(sets), KEYS), dtype=np.uint64)
     for k in range(KEYS):
-        x = flat * _ODD[k]
-        keys[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), starts)
+        key = np.full(len(sets), np.uint64(k + 1))
+        for r in range(ROWS):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * _ODD[k * ROWS + r], starts)
+        keys[:, k] = _mix(key)
     # one bit of the least hash of each bin: sorted by (set, bin, hash), the first of each run
     mixed = flat * _ODD[-1]
     owner = np.repeat(np.arange(len(sets), dtype=np.uint64), sizes)
@@ -169,7 +171,7 @@ def _blocks(least: float):
         held: dict[str, np.ndarray] | None = None
 
         def done(cols: dict[str, np.ndarray], final: bool) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-            key = np.flatnonzero((cols["no"][1:] != cols["no"][:-1]) | (cols["key"][1:] != cols["key"][:-1]) | (cols["lo"][1:] != cols["lo"][:-1]) | (cols["hi"][1:] != cols["hi"][:-1])) + 1
+            key = np.flatnonzero((cols["key"][1:] != cols["key"][:-1]) | (cols["lo"][1:] != cols["lo"][:-1]) | (cols["hi"][1:] != cols["hi"][:-1])) + 1
             starts = np.concatenate([[0], key])
             ends = np.concatenate([key, [len(cols["id"])]])
             if not final:
@@ -195,7 +197,7 @@ def _blocks(least: float):
                     right.append(b)
             return left, right, stop
 
-        names = ("no", "key", "lo", "hi", "part", "id", "size", "s1", "s2")
+        names = ("key", "lo", "hi", "part", "id", "size", "s1", "s2")
         last = iter([None])
         from itertools import chain
 
@@ -234,13 +236,13 @@ def near_pairs(rows: DataFrame, key: str, text: str, least: float = 0.8, block_r
     reps = each.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
     reps = cut(reps)
     members = each.select("id", "h1", "h2").join(reps.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep").distinct()
-    hashed = reps.select("id", "size", "s1", "s2", F.posexplode("keys").alias("no", "key"))
-    hot = hashed.groupBy("no", "key").count().where(F.col("count") > block_rows).select(F.col("no").alias("hot_no"), F.col("key").alias("hot_key"), F.ceil(F.col("count") / block_rows).cast("int").alias("parts"))
-    placed = hashed.join(hot, (F.col("no") == F.col("hot_no")) & (F.col("key") == F.col("hot_key")), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    hashed = reps.select("id", "size", "s1", "s2", F.explode("keys").alias("key"))
+    hot = hashed.groupBy("key").count().where(F.col("count") > block_rows).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / block_rows).cast("int").alias("parts"))
+    placed = hashed.join(hot, F.col("key") == F.col("hot_key"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("no", "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "size", "s1", "s2")
-    work = placed.repartition("no", "key", "lo", "hi").sortWithinPartitions("no", "key", "lo", "hi")
+    placed = placed.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "size", "s1", "s2")
+    work = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     pairs = cut(work.mapInArrow(_blocks(least), "a long, b long").distinct())
     verified = verify(pairs, rows, key, text, least)
     return verified, members
