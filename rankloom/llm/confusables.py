@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from ..session import cut
+
 # Letters that look like a Latin letter, by script, in the order of the Latin ones.
 LOOKS = {
     "Cyrillic": ("AАBВCСEЕHНIІJЈKКMМOОPРSЅTТXХYУQԚWԜaаcсdԁeеhһiіjјoоpрqԛsѕwԝxхyуvѵlӏ"),
@@ -131,9 +133,9 @@ def look_alikes(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     before the first join. Null texts and null keys look like nothing; a
     repeated key is taken once a spelling.
     """
-    rows = documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(
+    rows = cut(documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).alias("id"), F.md5(F.encode(normalize_column(F.col(text)), "UTF-8")).alias("look"), F.md5(F.encode(text, "UTF-8")).alias("spelling")
-    ).distinct()
+    ).distinct())
     spellings = rows.groupBy("look", "spelling").agg(F.lit(1).alias("one"))
     mixed = spellings.groupBy("look").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low <> high").select("look")
     several = spellings.join(mixed, "look", "left_semi").select("look", "spelling")
