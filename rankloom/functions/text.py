@@ -64,8 +64,7 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case terms with technical punctuation; stop words, single characters but c and r, and bare years are dropped."""
     raw = F.transform(found(F.lower(text), "[a-z0-9][a-z0-9+#./_-]*"), lambda t: F.regexp_replace(t, r"^[./_-]+|[./_-]+$", ""))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(raw, lambda t: ((F.length(t) >= 2) | t.isin("c", "r")) & ~F.array_contains(stop, t) & ~t.rlike("^[0-9]{4}$"))
+    return F.filter(raw, lambda t: ((F.length(t) >= 2) | t.isin("c", "r")) & ~t.isin(*STOPWORDS) & ~t.rlike("^[0-9]{4}$"))
 
 
 def lines(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -93,14 +92,16 @@ def heading_key(line: Column) -> Column:
 def section_of(key: Column) -> Column:
     """The section a heading names: an exact synonym, else the longest contained one (of 6 characters or more, at most 18 shorter)."""
     pairs = sorted(((s, name) for name, all_of in SECTION_HEADINGS.items() for s in all_of.split("|")), key=lambda p: (-len(p[0]), p[0]))
-    exact = reduce(lambda c, kv: c.when(key.isin(*kv[1].split("|")), kv[0]), SECTION_HEADINGS.items(), F.when(F.lit(False), ""))
-    inside = reduce(lambda c, p: c.when(key.contains(p[0]) & (F.length(key) <= len(p[0]) + 18), p[1]), [p for p in pairs if len(p[0]) >= 6], F.when(F.lit(False), ""))
-    return F.coalesce(exact, inside)
+    exact = F.create_map(*[F.lit(x) for name, all_of in SECTION_HEADINGS.items() for syn in all_of.split("|") for x in (syn, name)])
+    longest_first = F.array(*[F.struct(F.lit(syn).alias("syn"), F.lit(name).alias("sec")) for syn, name in pairs if len(syn) >= 6])
+    inside = F.filter(longest_first, lambda p: F.contains(key, p["syn"]) & (F.length(key) <= F.length(p["syn"]) + 18))
+    return F.coalesce(F.try_element_at(exact, key), F.try_element_at(inside, F.lit(1))["sec"])
 
 
 def sections(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, line, section, is_heading): each line's section, carried forward from the last heading; ``other`` before the first."""
-    marked = lines(rows, key, text).withColumn("heading", F.when(looks_like_heading(F.col("line")), section_of(heading_key(F.col("line")))))
+    keyed = lines(rows, key, text).withColumn("hk", F.when(looks_like_heading(F.col("line")), heading_key(F.col("line"))))
+    marked = keyed.withColumn("heading", F.when(F.col("hk").isNotNull(), section_of(F.col("hk"))))
     carry = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     return marked.select(key, "line_no", "line", F.coalesce(F.last("heading", ignorenulls=True).over(carry), F.lit("other")).alias("section"), F.col("heading").isNotNull().alias("is_heading"))
 

@@ -1 +1,13 @@
-"""Part of rankloom."""
+"""The registered queries and their SQL."""
+
+from __future__ import annotations
+
+
+def registered() -> tuple[dict, dict]:
+    from . import entity, extraction, matching, retrieval, texts, views
+
+    queries, sql = {}, {}
+    for m in (retrieval, matching, views, texts, entity, extraction):
+        queries |= m.QUERIES
+        sql |= m.SQL
+    return queries, sql
