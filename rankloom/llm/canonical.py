@@ -67,7 +67,7 @@ def osa(a: str, b: str, most: int) -> int:
         if min(row) > most:
             return most + 1
         before, last = last, row
-    return last[-1]
+    return min(last[-1], most + 1)
 
 
 def _deletions(word: str, most: int) -> set[str]:

@@ -38,7 +38,7 @@ _EMAIL = re.compile(
 _LINK = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _CUE = r"(?:tel|telephone|phone|mobile|mob|cell|call|whatsapp|fax|telefon|handy|tél|móvil|teléfono|line|via)"
 _PHONE = re.compile(
-    r"(?<![\w/.,+-])(?:"
+    r"(?<![\w/.,+-])(?<!\d )(?:"
     r"\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,6}(?:[ .-]\d{2,6}){0,4}"  # +91 55555 30235, +1 (525) 555-0131
     r"|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]\d{3,4}"
     r"|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}"  # 0559-239-9804
@@ -52,7 +52,7 @@ _PHONE_AFTER_CUE = re.compile(rf"\b{_CUE}\.?(?: (?:no|number|nr)\.?)?[ :–-]{{1
 _ID = re.compile(
     r"\b(?:passport(?: (?:no|number|nr))?|(?:national|citizen|identity|voter|personal|tax|tax payer|student) (?:id|card|number|no|code|identity(?: card| number)?)(?: (?:no|number))?"
     r"|id card|personalausweis(?:nummer)?|reisepass|steuer-?id|ausweis|ssn|social security(?: (?:no|number))?|driv(?:ing|er'?s?) licen[cs]e(?: (?:no|number))?|führerschein|aadhaar|aadhar|pan(?: card)?|dni|nie|nif|curp|nin|permis de conduire|numéro fiscal|pasaporte|passeport)"
-    r"\.?(?: ?[:#–-] ?| )((?:[A-Z]{1,5}[ -]?)?\d(?:[ -]?[A-Z0-9]){3,18})(?!\w)",
+    r"\.?(?: ?[:#–-] ?| )((?-i:(?:[A-Z]{1,5}[ -]?)?\d(?:[ -]?\d){3,18}(?: ?[A-Z])?))(?!\w)",
     re.I,
 )
 _BARE_ID = re.compile(r"(?<![\w-])(?:[A-Z]{5}\d{4}[A-Z]|\d{3}-\d{2}-\d{4}|QX(?: ?\d\d){3} ?[A-D])(?![\w-])")
@@ -63,7 +63,7 @@ _ADDRESS = re.compile(
     rf"|\b\d{{1,4}}[A-Z]?,? (?:{_CAP} ){{1,3}}(?:Road|Street|Lane|Avenue|Row|Terrace|Close|Path|Drive|Way|Court|Square|Place|Gardens?|Crescent|Hill|Grove|Mews|Walk|Rd|St|Ave|Ln|Dr)\b"
     r"|\b\d{1,4}(?: ?(?:bis|ter))?,? (?:rue|avenue|impasse|chemin|place|allée|boulevard|quai|route|cours|passage|sentier|ruelle|square)\b"
     r"|\b(?:Calle|Avenida|Avda\.?|Plaza|Camino|Paseo|Ronda|Carrera|Travesía|Glorieta|C/)(?: (?:del?|las?|los|el))* [^\W\d_][^\d,;|]{0,40}?,? (?:n[.º°]? ?)?\d+"
-    r"|\b[^\W\d_][\wäöüß-]*(?:weg|straße|strasse|str\.|gasse|platz|allee|ufer|ring|damm|steig|hof) \d+\w?\b"
+    r"|\b[A-ZÄÖÜ][\wäöüß-]*(?:weg|straße|strasse|str\.|gasse|platz|allee|ufer|damm|steig) \d+\w?\b|\b[A-ZÄÖÜ][\wäöüß-]*(?:ring|hof) \d+\w?, \d{4,6}\b"
     rf"|\b(?:Am|An der|An den|Zum|Zur|Im|In der|Auf dem|Auf der|Unter den|Hinter der|Beim) (?:{_CAP} ?){{1,3}}\d+\w?, \d{{4,6}}",
 )
 _ADDRESS_LINE = re.compile(r"(?:^|(?<=\n))[ \t]*(?:address|residence|home|postal address|anschrift|adresse|dirección|lives at) ?[:–-] ?(?=[^\n]*\d)([^\n]+)", re.I)
