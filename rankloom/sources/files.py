@@ -81,7 +81,7 @@ def docx_text(content: bytes) -> str:
 
 def rtf_text(raw: str) -> str:
     flat = re.sub(r"\\par[d]?\b ?", "\n", raw)
-    flat = re.sub(r"\{\\\*?[^{}]*\}|\\[a-z]+-?\d* ?|\\'[0-9a-f]{2}", "", flat, flags=re.I)
+    flat = re.sub(r"\{\\\*[^{}]*\}|\\[a-z]+-?\d* ?|\\'[0-9a-f]{2}", "", flat, flags=re.I)
     return re.sub(r"[{}]", "", flat).strip()
 
 
