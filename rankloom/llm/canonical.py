@@ -190,7 +190,7 @@ def mapped_values(values: DataFrame, ontology: DataFrame) -> DataFrame:
     """
     entries = read_entries(ontology)
     names = [n[0] for _, n in entries if n]
-    todo = values.where(F.col("raw_value").isNotNull() & F.col("raw_value").rlike(r"(?U)\S"))
+    todo = values.select("record_kind", "record_id", "raw_value").where(F.col("raw_value").isNotNull() & F.col("raw_value").rlike(r"(?U)\S"))
     if names:
         todo = todo.where(~F.col("raw_value").isin(names))
     return todo.distinct().withColumn("skill_key", canonical_key(F.col("raw_value"), entries))

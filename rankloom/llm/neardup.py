@@ -272,10 +272,10 @@ def verify(pairs: DataFrame, rows: DataFrame, key: str, text: str, least: float)
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b) of all texts, from pairs between representatives plus membership."""
+    """(a, b) of all texts, from pairs between representatives plus membership; an id with two texts is no pair of its own."""
     classes = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
     shared = members.join(classes, "rep")
     within = shared.alias("x").join(shared.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     left, right = members.select(F.col("id").alias("ia"), F.col("rep").alias("a")), members.select(F.col("id").alias("ib"), F.col("rep").alias("b"))
-    between = pairs.select("a", "b").join(left, "a").join(right, "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+    between = pairs.select("a", "b").join(left, "a").join(right, "b").where("ia <> ib").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
     return within.unionByName(between).distinct()

@@ -157,7 +157,7 @@ def test_osa_against_brute_force():
 
 def test_mapped_values_defined_cases(spark):
     onto = spark.createDataFrame([("python", "Python", None), ("go", "Go", ["Golang", None])], "skill_key string, canonical string, aliases array<string>")
-    values = spark.createDataFrame([("r", 1, v) for v in ("Python", "python", None, "  ", "python", "Golang", "zzz")], "record_kind string, record_id long, raw_value string")
+    values = spark.createDataFrame([("r", 1, v) for v in ("Python", "python", None, "  ", "python", "Golang", "zzz")], "record_kind string, record_id long, raw_value string").withColumn("skill_key", F.lit("clash"))
     assert {(r["raw_value"], r["skill_key"]) for r in canonical.mapped_values(values, onto).collect()} == {("python", "python"), ("Golang", "go"), ("zzz", "unmatched")}
     assert {r["skill_key"] for r in canonical.mapped_values(values, onto.limit(0)).collect()} == {"unmatched"}
     with pytest.raises(ValueError):
