@@ -63,8 +63,8 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case terms with technical punctuation; stop words, single characters but c and r, and bare years are dropped."""
-    raw = F.transform(found(F.lower(text), "[a-z0-9][a-z0-9+#./_-]*"), lambda t: F.regexp_replace(t, r"^[./_-]+|[./_-]+$", ""))
-    return F.filter(raw, lambda t: ((F.length(t) >= 2) | t.isin("c", "r")) & ~t.isin(*STOPWORDS) & ~t.rlike("^[0-9]{4}$"))
+    raw = F.transform(found(F.lower(text), "[a-z0-9][a-z0-9+#./_-]*"), lambda t: F.btrim(t, F.lit("./-_")))
+    return F.filter(raw, lambda t: ((F.length(t) >= 2) | t.isin("c", "r")) & ~t.isin(*STOPWORDS) & ~((F.length(t) == 4) & t.rlike("^[0-9]{4}$")))
 
 
 def lines(rows: DataFrame, key: str, text: str) -> DataFrame:
