@@ -75,61 +75,144 @@ def encoder_udf(load: Callable[[], Callable[[list[str]], np.ndarray]]):
     return encode
 
 
-def lsa(docs: DataFrame, key: str, text: str, components: int = 64, vocabulary: int = 4096) -> DataFrame:
+def lsa(docs: DataFrame, key: str, text: str, components: int = 160, rounds: int = 4, seed: int = 42) -> DataFrame:
     """(key, vector): the latent-semantic encoding used where no model is at hand.
 
-    Sublinear tf-idf over terms and term pairs found in at least 2 and at most
-    90 % of the texts, projected on the leading eigenvectors of the term
-    co-occurrence matrix (vocabulary x vocabulary, whatever the number of
-    texts), each vector scaled to length 1.
+    Sublinear tf-idf over all terms and term pairs found in at most 90 % of
+    the texts, projected on the leading singular vectors by subspace iteration
+    and scaled to length 1; a text without terms has zeros. A term of one text
+    adds only to that text's own diagonal element of the texts' Gram matrix, so
+    it counts exactly without a row of its own; the driver holds (terms of
+    several texts) x (components + 10) floats. Terms are told apart by 64-bit hashes.
     """
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-
     from ..functions.text import tokens
+    from ..session import cut
+    from .ranking import ranked
 
+    context = docs.sparkSession.sparkContext
+    kind = dict(docs.dtypes)[key]
     t = tokens(F.col(text))
     pair = F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))
     terms = docs.select(F.col(key), F.concat(t, F.filter(F.coalesce(pair, F.array().cast("array<string>")), lambda p: p.isNotNull())).alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2.0, maxDF=0.9).fit(terms)
-    counted = model.transform(terms).select(key, vector_to_array("tf").alias("tf"))
-    size, n = len(model.vocabulary), docs.count()
-
-    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(size)
-        for f in frames:
-            if len(f):
-                df += (np.vstack(f["tf"].to_numpy()) > 0).sum(axis=0)
-        yield pd.DataFrame({"df": [df.tolist()]})
-
-    df = np.sum([r[0] for r in counted.select("tf").mapInPandas(grams, "df array<double>").collect()], axis=0)
-    idf = np.log((1 + n) / (1 + df)) + 1
-
-    def weighted(block: np.ndarray) -> np.ndarray:
-        x = np.where(block > 0, 1 + np.log(np.maximum(block, 1)), 0) * idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-    def cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
-        for f in frames:
-            if len(f):
-                x = weighted(np.vstack(f["tf"].to_numpy()))
-                total += x.T @ x
-        yield pd.DataFrame({"row": range(size), "v": total.tolist()})
-
-    both = counted.select("tf").mapInPandas(cross, "row int, v array<double>")
-    gram = np.zeros((size, size))
-    for r in both.toLocalIterator():  # one row of the matrix at a time
-        gram[r["row"]] += np.asarray(r["v"])
-    k = max(2, min(components, size - 1, n - 1))
-    basis = np.linalg.eigh(gram)[1][:, ::-1][:, :k].copy()
+    tf = cut(terms.select(key, F.explode(F.transform("terms", lambda x: F.xxhash64(x))).alias("h")).groupBy(key, "h").agg(F.count("*").alias("tf")))
+    n = docs.where(F.trim(F.col(text)) != "").count()
+    df = tf.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") <= 0.9 * n)
+    shared = cut(ranked(df.where("df > 1"), [F.col("h").asc()]).select("h", "df", (F.col("rank") - 1).alias("id")))
+    size, single = shared.count(), df.where("df = 1").count()
+    k = max(2, min(components, size + single - 1, n - 1))
+    width = k + 10
+
+    numbered = shared.unionByName(df.where("df = 1").withColumn("id", F.lit(-1)))
+    w = (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)
+    each = tf.join(numbered, "h").groupBy(key).agg(F.collect_list(F.struct("id", w.alias("w"))).alias("x"), F.sqrt(F.sum(w * w)).alias("norm"))
+    own = F.aggregate("x", F.lit(0.0), lambda s, e: s + F.when(e["id"] < 0, e["w"] * e["w"]).otherwise(0.0)) / (F.col("norm") * F.col("norm"))
+    many = F.filter("x", lambda e: e["id"] >= 0)
+    rows = cut(each.select(key, F.transform(many, lambda e: e["id"].cast("int")).alias("ids"), F.transform(many, lambda e: (e["w"] / F.col("norm")).cast("float")).alias("ws"), own.alias("own"), F.xxhash64(key).alias("seed")))
+
+    def sparse(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place of the text, the term and the weight of each element."""
+        lengths = f["ids"].map(len).to_numpy()
+        return np.repeat(np.arange(len(f)), lengths), np.concatenate(f["ids"].to_list()).astype(np.int64), np.concatenate(f["ws"].to_list()).astype(np.float32)
+
+    def summed(to: np.ndarray, at: np.ndarray, ws: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct values of ``to``, and for each the sum of the rows of ``of`` at ``at``, weighted; a slice of elements at a time."""
+        order = np.argsort(to, kind="stable")
+        names, first = np.unique(to[order], return_index=True)
+        out, step = np.zeros((len(names), of.shape[1]), np.float32), 50_000
+        ends = np.append(first, len(to))
+        a = 0
+        while a < len(names):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + step, "right")) - 1)
+            part = order[ends[a] : ends[b]]
+            for s in range(0, len(part), step) if b == a + 1 else ():
+                out[a] += ws[part[s : s + step]] @ of[at[part[s : s + step]]]
+            if b > a + 1:
+                out[a:b] = np.add.reduceat(of[at[part]] * ws[part, None], ends[a:b] - ends[a], axis=0)
+            a = b
+        return names, out
+
+    def times(f: pd.DataFrame, right: np.ndarray, base: np.ndarray) -> np.ndarray:
+        i, j, ws = sparse(f)
+        names, out = summed(i, j, ws, right)
+        base[names] += out
+        return base
+
+    def state(f: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(f["y"]), np.float32).reshape(len(f), -1)
+
+    def mapped(frame: DataFrame, right: np.ndarray, mix: np.ndarray | None) -> DataFrame:
+        """The texts' next rows: matrix x right, and the own terms' share."""
+        sent = context.broadcast(right)
+
+        def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    d = f["own"].to_numpy()[:, None]
+                    if mix is None:
+                        base = np.sqrt(d) * np.vstack([np.random.default_rng([seed, s & (2**64 - 1)]).standard_normal(width) for s in f["seed"]])
+                    else:
+                        base = d * (state(f) @ mix)
+                    y = times(f, sent.value, base.astype(np.float32))
+                    yield f[[key, "ids", "ws", "own", "seed"]].assign(y=[r.tobytes() for r in y])
+
+        got = cut(frame.mapInPandas(step, f"{key} {kind}, ids array<int>, ws array<float>, own double, seed long, y binary"))
+        sent.destroy()
+        return got
+
+    def gathered(frame: DataFrame, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Y'Y, Y'DY and A'Y."""
+
+        def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    y = state(f)
+                    z = y.astype(np.float64)
+                    i, j, ws = sparse(f)
+                    names, out = summed(j, i, ws, y)
+                    cuts = np.unique(names // 4096)
+                    lo, hi = np.searchsorted(names, cuts * 4096), np.searchsorted(names, (cuts + 1) * 4096)
+                    yield pd.DataFrame({"block": [-1, -2, *cuts.tolist()], "ids": [b"", b"", *(names[a:b].tobytes() for a, b in zip(lo, hi))], "v": [(z.T @ z).tobytes(), (z.T @ (f["own"].to_numpy()[:, None] * z)).tobytes(), *(out[a:b].tobytes() for a, b in zip(lo, hi))]})
+
+        def total(f: pd.DataFrame) -> pd.DataFrame:
+            block = int(f["block"].iloc[0])
+            if block < 0:
+                return pd.DataFrame({"block": [block], "v": [np.sum([np.frombuffer(v) for v in f["v"]], axis=0).tobytes()]})
+            out = np.zeros((min(4096, size - block * 4096), wide), np.float32)
+            for ids, v in zip(f["ids"], f["v"]):
+                out[np.frombuffer(ids, np.int64) - block * 4096] += np.frombuffer(v, np.float32).reshape(-1, wide)
+            return pd.DataFrame({"block": [block], "v": [out.tobytes()]})
+
+        gram, diagonal, back = np.zeros((wide, wide)), np.zeros((wide, wide)), np.zeros((size, wide), np.float32)
+        for r in frame.mapInPandas(part, "block int, ids binary, v binary").groupBy("block").applyInPandas(total, "block int, v binary").toLocalIterator():
+            if r["block"] == -1:
+                gram = np.frombuffer(r["v"]).reshape(wide, wide)
+            elif r["block"] == -2:
+                diagonal = np.frombuffer(r["v"]).reshape(wide, wide)
+            else:
+                x = np.frombuffer(r["v"], np.float32).reshape(-1, wide)
+                back[r["block"] * 4096 : r["block"] * 4096 + len(x)] = x
+        return gram, diagonal, back
+
+    frame, wide = mapped(rows, np.random.default_rng(seed).standard_normal((size, width), np.float32), None), width
+    for left in range(rounds, -1, -1):
+        gram, diagonal, back = gathered(frame, wide)
+        values, vectors = np.linalg.eigh(gram)
+        keep = values > max(values[-1], 1e-30) * 1e-10
+        white = vectors[:, keep] / np.sqrt(values[keep])  # Y x white has orthonormal columns
+        back = back @ white.astype(np.float32)
+        if left:
+            frame, wide = mapped(frame, back, white), white.shape[1]
+    small = back.T.astype(np.float64) @ back if len(back) < 100_000 else sum(b.T.astype(np.float64) @ b for b in np.array_split(back, len(back) // 50_000))
+    values, vectors = np.linalg.eigh(small + white.T @ diagonal @ white)
+    last = white @ (vectors[:, ::-1][:, :k] * np.sqrt(np.maximum(values[::-1][:k], 0)))
+    last = np.pad(last, ((0, 0), (0, k - last.shape[1])))
 
     def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                z = weighted(np.vstack(f["tf"].to_numpy())) @ basis
+                z = state(f) @ last
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
                 yield pd.DataFrame({key: f[key], "vector": z.tolist()})
 
-    kind = dict(docs.dtypes)[key]
-    return counted.mapInPandas(project, f"{key} {kind}, vector array<double>")
+    got = frame.select(key, "y").mapInPandas(project, f"{key} {kind}, vector array<double>")
+    return docs.select(key).join(got, key, "left").select(key, F.coalesce("vector", F.array_repeat(F.lit(0.0), k)).alias("vector"))
