@@ -5,7 +5,10 @@ from collections import Counter
 
 import numpy as np
 
+import oracle
 from rankloom.operators import semantic
+from rankloom.plans import registered
+from rankloom.session import table
 
 
 def test_lsa_is_the_svd_over_the_whole_vocabulary(spark):
@@ -29,3 +32,12 @@ def test_lsa_is_the_svd_over_the_whole_vocabulary(spark):
     live = np.linalg.norm(a, axis=1) > 0
     assert np.allclose((mine @ mine.T)[np.ix_(live, live)], (want @ want.T)[np.ix_(live, live)], atol=1e-3)
     assert not mine[~live].any()
+
+
+def test_every_job_ranks_the_whole_pool(spark):
+    jobs, pool = table(spark, oracle.SMALL, "jobs").count(), table(spark, oracle.SMALL, "resumes").count()
+    rows = registered()[0]["bm25_rank_all"](spark, oracle.SMALL).select("job_id", "resume_id", "score", "rank").collect()
+    assert len(rows) == jobs * pool
+    first = min(r["job_id"] for r in rows)
+    one = registered()[0]["bm25_rank"](spark, oracle.SMALL).collect()
+    assert {(r["resume_id"], r["score"], r["rank"]) for r in rows if r["job_id"] == first} == {(r["resume_id"], r["score"], r["rank"]) for r in one}
