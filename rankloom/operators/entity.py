@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import SAME_TEXT, SAME_TEXT_WITH_NAME
+from ..config import FUZZY_MAX_EDITS, FUZZY_MIN_LEN, SAME_TEXT, SAME_TEXT_WITH_NAME
 from ..functions.text import PLACEHOLDER_MAIL, name_key, phone_key, reliable_name
 from ..session import cut
 
@@ -108,3 +108,13 @@ def contained(rows: DataFrame, key: str, text: str, head: int = 1500, whole: int
     twice = base.join(same.where("n > 1").select("fp", F.col("id").alias("rep")), "fp").where("id <> rep").groupBy("rep").agg(F.min("id").alias("second"))
     own = F.when(F.col("id") != F.col("rep"), F.col("rep")).otherwise(F.col("second"))
     return outer.join(twice, "rep", "left").withColumn("other", F.least(own, F.col("far"))).where("other is not null").select(F.col("id").alias(key), "other")
+
+
+def nearest_surface(rows: DataFrame, value: str, ontology: DataFrame, least: int = FUZZY_MIN_LEN, most: int = FUZZY_MAX_EDITS) -> DataFrame:
+    """(typed, name, skill_key, edits): for each distinct value the canonical name or alias of fewest edits, counted in characters, then the first by name."""
+    names = ontology.select("skill_key", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("s"))
+    names = names.select("skill_key", F.lower(F.trim("s")).alias("name")).where(F.length("name") >= least).distinct()
+    vocabulary = names.withColumn("n", F.explode(F.sequence(F.length("name") - most, F.length("name") + most)))
+    typed = rows.select(F.lower(F.trim(value)).alias("typed")).where(F.length("typed") >= least).distinct()
+    j = typed.join(vocabulary, F.length("typed") == F.col("n")).withColumn("edits", F.levenshtein("typed", "name", most)).where("edits >= 0")
+    return j.groupBy("typed").agg(F.min(F.struct("edits", "name", "skill_key")).alias("m")).select("typed", F.col("m.name").alias("name"), F.col("m.skill_key").alias("skill_key"), F.col("m.edits").alias("edits"))

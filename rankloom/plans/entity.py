@@ -54,6 +54,11 @@ def fuzzy_vocab_join(spark, d):
     return j.groupBy("typed").agg(F.min(F.struct("edits", "name", "skill_key")).alias("m")).select("typed", F.col("m.name").alias("name"), F.col("m.skill_key").alias("skill_key"), F.col("m.edits").alias("edits"))
 
 
+def fuzzy_surface_join(spark, d):
+    """Typed skills of six characters or more, in any script, within two edits of a canonical name or an alias: the nearest surface (J4, edit-distance form)."""
+    return E.nearest_surface(table(spark, d, "resumes").select(F.explode("skills").alias("s")), "s", table(spark, d, "skill_ontology"))
+
+
 _P = f"""
 WITH RECURSIVE p0 AS (SELECT resume_id AS id, lower(trim(email)) AS m, name, phone, doc_id, raw_text,
   array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(coalesce(name, '')), '{NAME_NOISE}', ' ', 'g'), '[^a-z ]+', ' ', 'g'), ' +'), lambda w: w <> '')), ' ') AS nk,
@@ -83,4 +88,4 @@ SQL = {
         j AS (SELECT typed, name, skill_key, CAST(levenshtein(typed, name) AS INTEGER) AS edits, row_number() OVER (PARTITION BY typed ORDER BY levenshtein(typed, name), name, skill_key) AS n FROM t JOIN v ON length(typed) >= 6 AND abs(length(typed) - length(name)) <= 2 AND levenshtein(typed, name) <= 2)
         SELECT typed, name, skill_key, edits FROM j WHERE n = 1""",
 }
-QUERIES = {n: globals()[n] for n in [*SQL, "identity_edges"]}
+QUERIES = {n: globals()[n] for n in [*SQL, "identity_edges", "fuzzy_surface_join"]}

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 import oracle
-from rankloom.operators import semantic
+from rankloom.operators import entity, semantic
 from rankloom.plans import registered
 from rankloom.session import table
 
@@ -41,3 +41,27 @@ def test_every_job_ranks_the_whole_pool(spark):
     first = min(r["job_id"] for r in rows)
     one = registered()[0]["bm25_rank"](spark, oracle.SMALL).collect()
     assert {(r["resume_id"], r["score"], r["rank"]) for r in rows if r["job_id"] == first} == {(r["resume_id"], r["score"], r["rank"]) for r in one}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_join_has_aliases_and_all_scripts(spark):
+    ontology = [("azure", "Microsoft Azure", ["azure cloud"]), ("gha", "GitHub Actions", ["gh actions", None]), ("nest", "NestJS", None), ("redux", "Redux", ["redux toolkit"]), ("cafe", "Café Framework", []), ("go", "Go", ["golang"])]
+    typed = ["Microsoft \u0410zure", "n\ufeffestjs", "gh actons", "redux toolikit", "cafe framework", "Golang", "go", "unrelated thing", None, " github  actions"]
+    names = {(n.strip().lower(), k) for k, c, al in ontology for n in [c, *(al or [])] if n and len(n.strip()) >= 6}
+    want = {}
+    for v in {v.strip().lower() for v in typed if v}:
+        near = sorted((edits(v, n), n, k) for n, k in names if edits(v, n) <= 2)
+        if len(v) >= 6 and near:
+            want[v] = near[0]
+    rows = spark.createDataFrame([(v,) for v in typed], "s string")
+    got = entity.nearest_surface(rows, "s", spark.createDataFrame(ontology, "skill_key string, canonical string, aliases array<string>"))
+    assert {r["typed"]: (r["edits"], r["name"], r["skill_key"]) for r in got.collect()} == want
+    assert len(want) == 7
