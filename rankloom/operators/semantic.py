@@ -26,6 +26,16 @@ def similarities(chunks: DataFrame, requirements: DataFrame) -> DataFrame:
     return each.select("doc", "chunk", "weight", F.col("r.req_no").alias("req_no"), F.col("r.kind").alias("kind"), dot(F.col("vector"), F.col("r.vector")).alias("sim"))
 
 
+def similarities_in_blocks(chunks: DataFrame, requirements: DataFrame, block: int = 64) -> DataFrame:
+    """``similarities`` for any number of requirements: ``block`` of them in a row's array, every chunk against every row."""
+    from .ranking import ranked
+
+    numbered = ranked(requirements, [F.col("req_no").asc()]).withColumn("_b", F.expr(f"(rank - 1) div {block}"))
+    packed = numbered.groupBy("_b").agg(F.collect_list(F.struct("req_no", "kind", "vector")).alias("_reqs")).select("_reqs")
+    each = chunks.crossJoin(packed).withColumn("r", F.explode("_reqs"))
+    return each.select("doc", "chunk", "weight", F.col("r.req_no").alias("req_no"), F.col("r.kind").alias("kind"), dot(F.col("vector"), F.col("r.vector")).alias("sim"))
+
+
 def top_k_decay(sims: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
     """(doc, req_no, kind, agg): the k best chunks by raw similarity, times section weight, with decay 1 / (1 + r / 2)."""
     w = W.partitionBy("doc", "req_no").orderBy(F.col("sim").desc(), "chunk")
