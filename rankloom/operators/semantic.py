@@ -72,6 +72,19 @@ def best_and_weak(matched: DataFrame, n: int = 5) -> DataFrame:
     return matched.groupBy("doc").agg(F.transform(best, lambda x: x["req_no"]).alias("best"), F.transform(weak, lambda x: x["req_no"]).alias("weak"))
 
 
+def document_vectors(chunks: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, vector): the mean of each document's chunk vectors, scaled to length 1; zeros where the mean is 0."""
+    means = chunks.select(key, F.posexplode(vector).alias("_p", "_v")).groupBy(key, "_p").agg(F.avg(F.col("_v").cast("double")).alias("_v"))
+    whole = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda x: x["_v"]).alias("m"), F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n"))
+    return whole.select(key, F.transform("m", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)).alias("vector"))
+
+
+def document_similarity(documents: DataFrame, query: DataFrame, key: str) -> DataFrame:
+    """(key, similarity): one dot product of each document's vector with the query document's, clipped to 0..1."""
+    both = documents.crossJoin(query.select(F.col("vector").alias("_q")))
+    return both.select(key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col("vector"), F.col("_q")))).alias("similarity"))
+
+
 def encoder_udf(load: Callable[[], Callable[[list[str]], np.ndarray]]):
     """A column function from text to vector; ``load`` builds the model once a worker."""
     from pyspark.sql.types import ArrayType, FloatType

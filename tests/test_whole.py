@@ -80,3 +80,12 @@ def test_blocks_of_requirements_are_joined(spark):
     reqs = spark.createDataFrame([(i, "required", v.tolist()) for i, v in enumerate(r)], "req_no int, kind string, vector array<double>")
     got = {(x["chunk"], x["req_no"]): x["sim"] for x in semantic.similarities_in_blocks(chunks, reqs, 5).collect()}
     assert len(got) == 7 * 23 and all(abs(s - c[i] @ r[j]) < 1e-9 for (i, j), s in got.items())
+
+
+def test_whole_documents_are_compared_by_one_vector_each(spark):
+    # document 1 has one chunk equal to the query and one against it; 2 lies against it
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [-1.0, 0.0, 2.0]), (2, [-1.0, 0.0, 0.0]), (3, [2.0, 2.0, 0.0]), (4, [1.0, 0.0, 0.0]), (4, [-1.0, 0.0, 0.0])]
+    docs = semantic.document_vectors(spark.createDataFrame(rows, "doc int, v array<double>"), "doc", "v")
+    query = semantic.document_vectors(spark.createDataFrame([(0, [3.0, 0.0, 0.0]), (0, [1.0, 0.0, 0.0])], "q int, v array<double>"), "q", "v")
+    got = {r["doc"]: round(r["similarity"], 6) for r in semantic.document_similarity(docs, query, "doc").collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: round(0.5**0.5, 6), 4: 0.0}
