@@ -3,10 +3,16 @@
 Each source's texts are cut, whole, into blocks of about ``block_tokens``. The
 k-th block of a source of weight w is released at slot floor(k / w) and due at
 ceil((k + 1) / w); earliest deadline first over the released blocks keeps every
-source within one block of its due share at all times. With weights that are
-multiples of 1 / H the schedule repeats every H slots, so it is computed once
-on the driver for one period (H is bounded by ``period``), and each block finds
-its slot by its number alone: no running state over the corpus exists.
+source within one block of its due share at all times. Weights are exact
+fractions (the targets as they are written, or the blocks a source can give
+where it falls short), never rounded, so the bound holds at any length.
+
+A schedule repeats after the weights' common denominator, so it is simulated
+for one period, or for the mix if that is shorter: about a second a million
+slots on the driver, which sends the state at every 50,000th slot to executors
+that write the slots out. Each block then finds its slot by its number alone:
+no running state over the corpus exists. For a corpus of over some 10^8 blocks
+in weights without a short period, raise ``block_tokens``.
 
 Positions within a source are prefix sums in two levels, by bucket and within
 the bucket, so a source that holds a third of all tokens is summed by many
@@ -15,10 +21,13 @@ tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil, floor, lcm
+from heapq import heappop, heappush
+from math import ceil, lcm
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut
 
@@ -28,32 +37,77 @@ def source_key(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[\s_-]+", "_")
 
 
-def pfair_period(weights: dict[str, Fraction]) -> list[tuple[str, int]]:
-    """(source, number of its block) for each slot of one period of the weights, which must sum to 1."""
-    period = 1
-    for w in weights.values():
-        period = lcm(period, w.denominator)
-    done = dict.fromkeys(weights, 0)
-    slots = []
-    for t in range(period):
-        ready = [(ceil((done[s] + 1) / w), -w, s) for s, w in weights.items() if w > 0 and floor(done[s] / w) <= t and done[s] < w * period]
-        _, _, s = min(ready)
-        slots.append((s, done[s]))
-        done[s] += 1
-    return slots
-
-
-def rounded_weights(shares: dict[str, float], period: int) -> dict[str, Fraction]:
-    """The shares as multiples of 1 / period that sum to 1 (largest remainders; every positive share keeps at least one)."""
-    total = sum(shares.values())
-    exact = {s: v / total * period for s, v in shares.items() if v > 0}
-    units = {s: max(1, floor(v + 1e-9)) for s, v in exact.items()}
-    for s in sorted(exact, key=lambda s: (units[s] - exact[s], s)):
-        if sum(units.values()) < period:
-            units[s] += 1
-    while sum(units.values()) > period:
-        units[max(units, key=lambda s: (units[s] - exact[s], s))] -= 1
-    return {s: Fraction(u, period) for s, u in units.items()}
+def exact_weights(parts: dict[str, Fraction]) -> dict[str, tuple[int, int]]:
+    """Each positive part as (units, period): its weight is units / period, and the periods are one number."""
+    whole = sum(parts.values())
+    weights = {s: v / whole for s, v in parts.items() if v > 0}
+    period = lcm(*(w.denominator for w in weights.values())) if weights else 1
+    return {s: (int(w * period), period) for s, w in weights.items()}
+
+
+class Pfair:
+    """Earliest deadline first over blocks that are released at floor(k / w) and due at ceil((k + 1) / w).
+
+    ``weights`` are (units, period) a source and sum to 1; all arithmetic is on
+    integers. ``done`` is the number of blocks of each source before slot
+    ``at``, so a simulation can go on from any state of an earlier one.
+    """
+
+    def __init__(self, weights: list[tuple[int, int]], at: int = 0, done: list[int] | None = None):
+        self.weights, self.at, self.done = weights, at, list(done or [0] * len(weights))
+        self.ready: list[tuple[int, int, int]] = []
+        self.waiting: list[tuple[int, int]] = []
+        for i in range(len(weights)):
+            self._queue(i)
+
+    def _queue(self, i: int) -> None:
+        units, period = self.weights[i]
+        heappush(self.waiting, (self.done[i] * period // units, i))
+
+    def slots(self, until: int) -> Iterator[tuple[int, int, int]]:
+        """(slot, source, number of its block) from here to ``until``."""
+        while self.at < until:
+            while self.waiting and self.waiting[0][0] <= self.at:
+                _, i = heappop(self.waiting)
+                units, period = self.weights[i]
+                heappush(self.ready, (-(-(self.done[i] + 1) * period // units), -units, i))
+            _, _, i = heappop(self.ready)  # never empty: the weights sum to 1
+            yield self.at, i, self.done[i]
+            self.done[i] += 1
+            self.at += 1
+            self._queue(i)
+
+
+def schedule(spark: SparkSession, plans: dict[str, dict[str, tuple[int, int]]], blocks: dict[str, int], segment: int = 50_000) -> DataFrame:
+    """(mix_name, source, number, at): the slot of each block within one period of its mix.
+
+    The driver runs each mix once through one period of its weights (through
+    the mix's ``blocks`` if those are fewer) and keeps nothing but the state at
+    every ``segment`` slots; executors replay the segments from there.
+    """
+    states = []
+    for name, weights in plans.items():
+        if not weights:
+            continue
+        sources, run = list(weights), Pfair(list(weights.values()))
+        end = min(next(iter(weights.values()))[1], blocks[name])
+        for at in range(0, end, segment):
+            states.append((name, sources, [u for u, _ in weights.values()], weights[sources[0]][1], at, min(end, at + segment), list(run.done)))
+            if at + segment < end:
+                for _ in run.slots(at + segment):
+                    pass
+    schema = "mix_name string, sources array<string>, units array<long>, period long, at long, until long, done array<long>"
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows = list(Pfair([(u, r["period"]) for u in r["units"]], r["at"], r["done"]).slots(r["until"]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r["mix_name"]] * len(rows)), pa.array([r["sources"][i] for _, i, _ in rows]), pa.array([k for _, _, k in rows], pa.int64()), pa.array([t for t, _, _ in rows], pa.int64()),
+                ], names=["mix_name", "source", "number", "at"])
+
+    start = spark.createDataFrame(states, schema)
+    return (start.repartition(len(states)) if len(states) > 1 else start).mapInArrow(replay, "mix_name string, source string, number long, at long")
 
 
 def positions(texts: DataFrame, source: str, key: str, tokens: str, bucket_rows: int) -> DataFrame:
@@ -69,67 +123,68 @@ def positions(texts: DataFrame, source: str, key: str, tokens: str, bucket_rows:
     return rows.withColumn("within", within).join(base, ["source", "bucket"]).select("source", "key", "tokens", (F.col("base") + F.col("within")).alias("start"))
 
 
+#: More targets than this are refused: they are read to the driver.
 MAX_MIX_SOURCES = 10_000
 
 
 def mix(
     texts: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", tokens: str = "tokens", total_tokens: int | str | None = None,
-    block_tokens: int = 2048, period: int = 1000, bucket_rows: int = 100_000,
+    block_tokens: int = 2048, bucket_rows: int = 100_000,
 ) -> tuple[DataFrame, DataFrame]:
     """The mix, (mix_name, slot, place, source, key, repeat_no, tokens), and its report, a row a mix and source.
 
     Without ``total_tokens`` a mix is as large as it can be with every share
     reached: the least, over its sources, of tokens x max_repeats / share. With
     it, a source that can't fill its share even when repeated max_repeats times
-    gives all it has, and the report says so; ``"all"`` asks for as many tokens
-    as the mix's sources hold. The text that crosses a source's share is used
-    if that brings the source nearer to it. Texts of no tokens, null sources
-    and sources that no target names are in no mix; a target whose source has
-    no texts is reported with 0 and doesn't limit the mix. Null keys are left
-    out. Order: slot, then place.
+    gives all it has, spread over the whole mix, and the report says so;
+    ``"all"`` asks for as many tokens as the mix's sources hold. The text that
+    crosses a source's share is used if that brings the source nearer to it.
+    Sources are compared by ``source_key``; targets of one mix that share a key
+    are one source, their shares added up. Texts of no tokens, null sources and
+    sources that no target names are in no mix; a target whose source has no
+    texts is reported with 0 and doesn't limit the mix. Null keys are left out.
+    Order: slot, then place.
     """
-    goals = targets.where("mix_name is not null and source is not null and target_share > 0 and max_repeats > 0").groupBy("mix_name", F.col("source").alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    have = texts.where(F.col(key).isNotNull() & (F.col(tokens) > 0)).withColumn("source", source_key(F.col(source))).join(goals.select(source_key(F.col("source")).alias("source")).distinct(), "source", "left_semi")
-    placed = cut(positions(have, "source", key, tokens, bucket_rows))
-    sizes = {r[0]: (r[1], r[2]) for r in placed.groupBy("source").agg(F.sum("tokens"), F.count("*")).limit(MAX_MIX_SOURCES).collect()}
-    plan: dict[str, list[tuple[str, float, int]]] = {}
+    goals = targets.where("mix_name is not null and source is not null and cast(target_share as decimal(38,12)) > 0 and max_repeats > 0")
+    goals = goals.select("mix_name", "source", F.col("target_share").cast("decimal(38,12)").alias("share"), "max_repeats").distinct()
+    goals = goals.groupBy("mix_name", source_key(F.col("source")).alias("source")).agg(F.min(goals.source).alias("source_name"), F.sum("share").cast("string").alias("share"), F.max("max_repeats").alias("max_repeats"))
     rows = goals.limit(MAX_MIX_SOURCES + 1).collect()
     if len(rows) > MAX_MIX_SOURCES:
         raise ValueError(f"more than {MAX_MIX_SOURCES} targets")
-    for r in rows:
-        plan.setdefault(r["mix_name"], []).append((r["source"], r["target_share"], r["max_repeats"]))
+    have = texts.where(F.col(key).isNotNull() & (F.col(tokens) > 0)).withColumn("source", source_key(F.col(source))).join(goals.select("source").distinct(), "source", "left_semi")
+    placed = cut(positions(have, "source", key, tokens, bucket_rows))
+    supply = {r[0]: r[1] for r in placed.groupBy("source").agg(F.sum("tokens")).collect()}  # at most one row a target
     spark = texts.sparkSession
-    slots, needs = [], []
+    plan: dict[str, list[tuple[str, str, Fraction, int]]] = {}
+    for r in rows:
+        plan.setdefault(r["mix_name"], []).append((r["source"], r["source_name"], Fraction(r["share"]), r["max_repeats"]))
+    needs, weights, blocks = [], {}, {}
     for name, parts in sorted(plan.items()):
-        keyed = [(s, " ".join(s.split()).lower().replace(" ", "_").replace("-", "_"), share, reps) for s, share, reps in sorted(parts)]
-        whole = sum(share for _, _, share, _ in keyed)
-        live = {k: share / whole for _, k, share, _ in keyed if sizes.get(k, (0, 0))[0] > 0}
-        everything = sum(sizes[k][0] for k in live)
-        size = everything if total_tokens == "all" else total_tokens if total_tokens is not None else int(min((sizes[k][0] * reps * whole / share for _, k, share, reps in keyed if k in live), default=0))
-        due = {}
-        for s, k, share, reps in keyed:
-            supply = sizes.get(k, (0, 0))[0]
-            due[k] = int(min(supply * reps, round(size * share / whole)))
-            needs.append((name, s, k, float(share), int(reps), due[k], int(size), int(supply)))
-        due = {k: n for k, n in due.items() if n > 0}  # sources short of their share are spread over the whole mix too
-        weights = rounded_weights(due, period) if due else {}
-        units = {k: int(w * period) for k, w in weights.items()}
-        scheduled = pfair_period(weights) if weights else []
-        beat = len(scheduled)
-        for at, (k, n) in enumerate(scheduled):
-            slots.append((name, k, n, at, beat, units[k] * beat // period))
-    need = spark.createDataFrame(needs, "mix_name string, source_name string, source string, target_share double, max_repeats int, need long, mix_tokens long, supply long")
-    timed = spark.createDataFrame(slots, "mix_name string, source string, number long, at long, beat long, per_beat long")  # at most period rows a mix
+        parts.sort()
+        whole = sum(share for _, _, share, _ in parts)
+        live = [p for p in parts if supply.get(p[0], 0) > 0]
+        size = sum(supply[k] for k, *_ in live) if total_tokens == "all" else total_tokens if total_tokens is not None else int(min((supply[k] * reps * whole / share for k, _, share, reps in live), default=0))
+        due = {k: int(min(supply.get(k, 0) * reps, round(size * share / whole))) for k, _, share, reps in parts}
+        short = any(due[k] < round(size * share / whole) for k, _, share, _ in live)
+        count = {k: -(-n // block_tokens) for k, n in due.items() if n > 0}
+        # where all reach their share the targets are the weights; else the blocks that each source gives
+        weights[name] = exact_weights({k: Fraction(n) for k, n in count.items()} if short else {k: share for k, _, share, _ in parts if k in count})
+        # the slot after which no source has a block left
+        blocks[name] = max((-(-n * weights[name][k][1] // weights[name][k][0]) for k, n in count.items()), default=0)
+        for k, shown, share, reps in parts:
+            units, period = weights[name].get(k, (0, 1))
+            needs.append((name, shown, k, float(share), int(reps), due[k], int(supply.get(k, 0)), units, period))
+    need = spark.createDataFrame(needs, "mix_name string, source_name string, source string, target_share double, max_repeats int, need long, supply long, units long, period long")
+    timed = schedule(spark, weights, blocks)
     copies = placed.join(need.where("need > 0"), "source")
     passes = F.least(F.col("max_repeats").cast("long"), F.ceil(F.col("need") / F.col("supply")))
     copies = copies.withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)))
     copies = copies.withColumn("offset", F.col("repeat_no") * F.col("supply") + F.col("start")).where("2 * offset + tokens <= 2 * need")
-    copies = copies.withColumn("block", F.floor(F.col("offset") / block_tokens))
-    per = timed.groupBy("mix_name", "source").agg(F.max("per_beat").alias("n"), F.max("beat").alias("b"))
-    copies = copies.join(per, ["mix_name", "source"]).withColumn("number", F.pmod("block", "n"))
-    mixed = copies.join(timed.select("mix_name", "source", "number", "at"), ["mix_name", "source", "number"])
+    copies = copies.withColumn("block", F.expr(f"offset div {block_tokens}"))
+    copies = copies.withColumn("number", F.pmod("block", "units"))
+    mixed = copies.join(timed, ["mix_name", "source", "number"])
     mixed = mixed.select(
-        "mix_name", (F.floor(F.col("block") / F.col("n")) * F.col("b") + F.col("at")).alias("slot"), (F.col("offset") - F.col("block") * block_tokens).alias("place"),
+        "mix_name", (F.expr("block div units") * F.col("period") + F.col("at")).alias("slot"), (F.col("offset") - F.col("block") * block_tokens).alias("place"),
         F.col("source_name").alias("source"), F.col("key").alias(key), F.col("repeat_no").cast("int").alias("repeat_no"), F.col("tokens"),
     )
     got = mixed.groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("texts"), (F.max("repeat_no") + 1).alias("most_uses"))

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -277,15 +278,27 @@ def test_best_fit_beats_no_bin_overflow():
     assert sorted(u for u, _ in bins) == [100, 100]
 
 
-def test_pfair_within_one_block():
-    weights = mixing.rounded_weights({"a": 0.45, "b": 0.3, "c": 0.2, "d": 0.05}, 100)
-    slots = mixing.pfair_period(weights)
-    done = dict.fromkeys(weights, 0)
-    for t, (s, k) in enumerate(slots, 1):
-        assert k == done[s]
-        done[s] += 1
-        assert all(abs(done[x] - t * w) < 1 for x, w in weights.items())
-    assert sum(weights.values()) == 1
+@pytest.mark.parametrize("parts,slots", [({"a": "0.45", "b": "0.3", "c": "0.2", "d": "0.05"}, 400), ({"a": "0.9", "b": "0.0996", "c": "0.0004"}, 100_000), ({f"s{i}": "7" for i in range(1500)} | {"t": "0.001"}, 20_000)])
+def test_pfair_within_one_block(parts, slots):
+    weights = mixing.exact_weights({s: Fraction(v) for s, v in parts.items()})
+    assert sum(Fraction(*w) for w in weights.values()) == 1 and all(u > 0 for u, _ in weights.values())
+    run, share = mixing.Pfair(list(weights.values())), [u / p for u, p in weights.values()]
+    done = np.zeros(len(share))
+    for t, i, k in run.slots(slots):
+        assert k == done[i] and k * weights[list(weights)[i]][1] // weights[list(weights)[i]][0] <= t
+        done[i] += 1
+        if len(share) < 10 or t % 97 == 0:
+            assert np.abs(done - np.array(share) * (t + 1)).max() < 1 + 1e-9
+    again = mixing.Pfair(list(weights.values()))
+    first = list(again.slots(slots // 3))
+    assert first + list(mixing.Pfair(list(weights.values()), again.at, again.done).slots(slots)) == list(mixing.Pfair(list(weights.values())).slots(slots))
+
+
+def test_many_equal_sources_lose_nothing(spark):
+    df = spark.createDataFrame([(i, f"Web--{i % 1500} x", 10) for i in range(3000)], "doc_id long, source string, tokens long")
+    goals = spark.createDataFrame([("m", f"web-{i} X" if i % 2 else f"WEB {i}_x", 1 / 1500, 1) for i in range(1500)], "mix_name string, source string, target_share double, max_repeats int")
+    mixed, report = mixing.mix(df, goals, total_tokens="all", block_tokens=16)
+    assert mixed.count() == 3000 and {r["tokens"] for r in report.collect()} == {20}
 
 
 def test_mixing(spark):
