@@ -12,9 +12,6 @@ STAND_INS = (
     "unassigned", "not provided", "not available", "not applicable", "missing", "see cv", "undefined",
 )
 
-#: Ids from here on are label nodes, not resumes.
-LABEL_BASE = 1 << 62
-
 
 def is_stand_in(value: Column) -> Column:
     """True for null, blank and stand-in values, whatever their case."""
@@ -28,21 +25,23 @@ def file_key(name: Column) -> Column:
 
 
 def stated_links(ranked: DataFrame, resumes: DataFrame) -> DataFrame:
-    """Edges (a, b) between resumes, or between a resume and a label node.
+    """Edges (a, b) between resumes.
 
     File names in duplicate_of and duplicate_files link when they are some
     resume's doc_id, whatever their folder, case or outer blanks; all rows of
-    one job_id with one identity_group label link to one label node, so a
-    label that a third of all rows share makes as many edges as it has rows
-    and needs no join.
+    one job_id with one identity_group label link to the smallest resume_id of
+    that label, so a label that a third of all rows share makes as many edges
+    as it has resumes. That id is found by an aggregate that combines before
+    its shuffle, and joined back as one row a label.
     """
     rows = ranked.select("job_id", F.col("resume_id").cast("long").alias("resume_id"), "duplicate_of", "duplicate_files", "identity_group").where("resume_id is not null")
     named = rows.select("resume_id", F.explode(F.concat(F.array("duplicate_of"), F.coalesce("duplicate_files", F.array().cast("array<string>")))).alias("name"))
     named = named.where(~is_stand_in(F.col("name"))).select("resume_id", file_key(F.col("name")).alias("file")).distinct()
     files = resumes.where(~is_stand_in(F.col("doc_id"))).select(F.col("resume_id").cast("long").alias("other"), file_key(F.col("doc_id")).alias("file"))
     by_name = named.join(files, "file").where("resume_id <> other").select(F.col("resume_id").alias("a"), F.col("other").alias("b"))
-    label = F.shiftrightunsigned(F.xxhash64("job_id", "identity_group"), 2) + F.lit(LABEL_BASE)
-    by_label = rows.where(F.col("job_id").isNotNull() & ~is_stand_in(F.col("identity_group"))).select(F.col("resume_id").alias("a"), label.alias("b")).distinct()
+    labelled = rows.where(F.col("job_id").isNotNull() & ~is_stand_in(F.col("identity_group"))).select("job_id", "identity_group", "resume_id").distinct()
+    first = labelled.groupBy("job_id", "identity_group").agg(F.min("resume_id").alias("first"))
+    by_label = labelled.join(first, ["job_id", "identity_group"]).where("resume_id <> first").select(F.col("resume_id").alias("a"), F.col("first").alias("b"))
     return by_name.unionByName(by_label)
 
 
@@ -54,7 +53,6 @@ def identity_groups(ranked: DataFrame, resumes: DataFrame, edges_per_partition:
     and job ids link nothing; repeated rows change nothing.
     """
     labels = connected_components(stated_links(ranked, resumes), edges_per_partition=edges_per_partition)
-    member = labels.where(F.col("node") < LABEL_BASE)
-    others = member.where("node <> root")
+    others = labels.where("node <> root")
     roots = others.select(F.col("root").alias("node"), "root").distinct()
     return others.unionByName(roots).select(F.col("node").alias("resume_id"), F.col("root").alias("group_id"))

@@ -24,21 +24,37 @@ from ..session import cut
 BIN = "container_name string, capacity long, used long, members array<struct<id:bigint,part_no:int,tokens:bigint>>"
 
 
-def best_fit(items: list[tuple[int, int]], capacity: int) -> list[tuple[int, list[int]]]:
-    """Packs (size, index) items, largest first, each into the fullest bin it fits; (used, indexes) a bin."""
+def best_fit(items: list[tuple[int, int, int]], capacity: int, most: int) -> list[tuple[int, list[int]]]:
+    """Packs (size, index, members) items, largest first, each into the fullest bin it fits; (used, indexes) a bin.
+
+    A bin of ``most`` members or more takes no further item, so items of no
+    size can't pile up in one bin.
+    """
     rooms: list[tuple[int, int]] = []  # (room left, bin), rising
-    bins: list[tuple[int, list[int]]] = []
-    for size, i in sorted(items, key=lambda x: (-x[0], x[1])):
+    used: list[int] = []
+    inside: list[list[int]] = []
+    members: list[int] = []
+    for size, i, n in sorted(items, key=lambda x: (-x[0], x[1])):
         at = bisect_left(rooms, (size, -1))
         if at == len(rooms):
-            bins.append((size, [i]))
-            room, b = capacity - size, len(bins) - 1
+            used.append(0)
+            inside.append([])
+            members.append(0)
+            b = len(used) - 1
         else:
-            room, b = rooms.pop(at)
-            bins[b] = (bins[b][0] + size, bins[b][1] + [i])
-            room -= size
-        insort(rooms, (room, b))
-    return bins
+            _, b = rooms.pop(at)
+        used[b] += size
+        inside[b].append(i)
+        members[b] += n
+        if members[b] < most:
+            insort(rooms, (capacity - used[b], b))
+    return list(zip(used, inside))
+
+
+#: A bin is closed at so many members, however full it is.
+MAX_MEMBERS = 16_384
+#: More container kinds than this are refused: every item is packed once for each.
+MAX_KINDS = 1_000
 
 
 def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,7 +63,7 @@ def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, capacity, used, members in frame[["container_name", "capacity", "used", "members"]].itertuples(index=False):
             held.setdefault((name, capacity), []).append((used, list(members)))
     for (name, capacity), items in held.items():
-        bins = best_fit([(used, i) for i, (used, _) in enumerate(items)], capacity)
+        bins = best_fit([(used, i, len(members)) for i, (used, members) in enumerate(items)], capacity, MAX_MEMBERS)
         for k in range(0, len(bins), 5000):
             yield pd.DataFrame({"container_name": name, "capacity": capacity, "used": [u for u, _ in bins[k : k + 5000]], "members": [[m for i in ids for m in items[i][1]] for _, ids in bins[k : k + 5000]]})
 
@@ -59,12 +75,16 @@ def pack(items: DataFrame, containers: DataFrame, key: str, tokens: str, full: f
     container_name and capacity_tokens (kinds with a null or no positive
     capacity hold nothing; repeated kinds count once). Items longer than the
     capacity come in parts numbered from 0; items of no tokens lie in some bin
-    and take no room; null sizes count as 0. ``bin_id`` is built from the
+    and take no room, at most MAX_MEMBERS items a bin; null sizes count as 0. ``bin_id`` is built from the
     bin's first member, so it is stable for a given placement.
     """
     kinds = containers.where("container_name is not null and capacity_tokens > 0").groupBy("container_name").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
+    known = kinds.limit(MAX_KINDS + 1).collect()
+    if len(known) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} container kinds")
     sized = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("tokens"))
-    each = sized.join(kinds, F.lit(True))  # the kinds are a stated small set: every item is packed once for each kind
+    of_kind = F.array(*(F.struct(F.lit(k["container_name"]).alias("container_name"), F.lit(k["capacity"]).cast("long").alias("capacity")) for k in known)) if known else F.expr("cast(array() as array<struct<container_name:string,capacity:bigint>>)")
+    each = sized.select("id", "tokens", F.explode(of_kind).alias("kind")).select("kind.container_name", "kind.capacity", "id", "tokens")
     n_parts = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity")))
     parts = each.withColumn("part_no", F.explode(F.sequence(F.lit(0), n_parts.cast("int") - 1)))
     parts = parts.withColumn("size", F.least(F.col("capacity"), F.col("tokens") - F.col("part_no") * F.col("capacity")))

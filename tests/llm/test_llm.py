@@ -50,6 +50,19 @@ def test_components_random(spark, bound):
     assert got == brute_components(edges)
 
 
+def test_components_levels_are_logarithmic():
+    for n in (20_000, 40_000):
+        parts = lambda edges: -(-edges // 500) if edges > 500 else 1
+        for step in (1, n // 40 + 1):
+            assert components.levels_of([(i, i + step) for i in range(n)], parts) <= 16
+
+
+def test_components_of_a_strided_chain(spark):
+    edges = [(i, i + 101) for i in range(4000)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), edges_per_partition=300).collect()}
+    assert got == {i: i % 101 for i in range(4101)}
+
+
 def test_components_empty(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -274,8 +287,9 @@ def test_packing(spark, bound):
 
 
 def test_best_fit_beats_no_bin_overflow():
-    bins = packing.best_fit([(60, 0), (40, 1), (50, 2), (50, 3), (0, 4)], 100)
+    bins = packing.best_fit([(60, 0, 1), (40, 1, 1), (50, 2, 1), (50, 3, 1), (0, 4, 1)], 100, 10)
     assert sorted(u for u, _ in bins) == [100, 100]
+    assert max(len(i) for _, i in packing.best_fit([(0, i, 1) for i in range(100)], 5, 10)) == 10
 
 
 @pytest.mark.parametrize("parts,slots", [({"a": "0.45", "b": "0.3", "c": "0.2", "d": "0.05"}, 400), ({"a": "0.9", "b": "0.0996", "c": "0.0004"}, 100_000), ({f"s{i}": "7" for i in range(1500)} | {"t": "0.001"}, 20_000)])
