@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
-from bisect import bisect_right
+import unicodedata
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,7 +50,7 @@ _PHONE = re.compile(
     r"|\d{10,13}"
     r")(?: ?(?:ext|extn|x)\.? ?\d{1,5})?(?![\w/]|[.,-]\d)"
 )
-_PHONE_AFTER_CUE = re.compile(rf"\b{_CUE}\.?(?: (?:no|number|nr)\.?)?[ :–-]{{1,3}}(\d{{3}}[ -]\d{{3}}[ -]\d{{4}})(?![\w-])", re.I)
+_PHONE_AFTER_CUE = re.compile(rf"\b{_CUE}\.?(?: (?:no|number|nr)\.?)?[ :–-]{{1,3}}(\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}|\d{{5}}[ .-]\d{{5}}|\d{{4}}[ .-]\d{{3}}[ .-]\d{{3}}|\d{{4}}[ .-]\d{{6}})(?![\w-])", re.I)
 _ID = re.compile(
     r"\b(?:passport(?: (?:no|number|nr))?|(?:national|citizen|identity|voter|personal|tax|tax payer|student) (?:id|card|number|no|code|identity(?: card| number)?)(?: (?:no|number))?"
     r"|id card|personalausweis(?:nummer)?|reisepass|steuer-?id|ausweis|ssn|social security(?: (?:no|number))?|driv(?:ing|er'?s?) licen[cs]e(?: (?:no|number))?|führerschein|aadhaar|aadhar|pan(?: card)?|dni|nie|nif|curp|nin|permis de conduire|numéro fiscal|pasaporte|passeport)"
@@ -90,7 +92,7 @@ NOT_NAMES = frozenset(
     "developer analyst designer tester manager intern lead associate editor technician scientist specialist administrator consultant student applicant candidate unknown name test user "
     "university college institute school polytechnic ltd inc llc gmbh studios systems software analytics logistics labs media retail robotics health sons team dashboard".split()
 )
-_BIRTH = re.compile(r"\b(?:date of birth|dob|born(?: on)?|birth ?date|geburtsdatum)(?: ?[:–-] ?| )(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4})\b", re.I)
+_BIRTH = re.compile(r"\b(?:date of birth|dob|born(?: on)?|birth ?date|geburtsdatum)(?: ?[:–-] ?| )(\d{1,4}[-/. ]\d{1,2}[-/. ]\d{1,4}|\d{1,2}(?:st|nd|rd|th|\.)? [^\W\d_]{3,9}\.?,? \d{2,4}|[^\W\d_]{3,9}\.? \d{1,2}(?:st|nd|rd|th)?,? \d{4})\b", re.I)
 
 
 def _person(text: str) -> bool:
@@ -99,22 +101,24 @@ def _person(text: str) -> bool:
 
 
 def _clear(spans: list[tuple[int, int, str]], start: int, end: int) -> bool:
-    return all(end <= s or start >= e for s, e, _ in spans)
+    """Whether nothing of ``spans``, which are in order and don't overlap, touches this stretch."""
+    at = bisect_left(spans, (start,))
+    return (at == len(spans) or spans[at][0] >= end) and (at == 0 or spans[at - 1][1] <= start)
 
 
 # What can begin an item, by the kind of search it calls for; only lines that hold one are searched.
 _TRIGGERS = {
     "E": ("@", "[at", "(at", "{at", "[ at", "( at", " dot "),
-    "I": ("passport", "personalausweis", "reisepass", "steuer", "ausweis", "ssn", "social security", "licence", "license", "führerschein", "aadhaar", "aadhar", "pan ", "pan:", "dni", "nie ", "nif", "curp",
-          "nin ", "permis de", "numéro fiscal", "pasaporte", "passeport", "national ", "citizen ", "identity ", "voter ", "personal id", "personal n", "tax ", "student id", "student card", "student n", "id card"),
+    "I": ("passport", "personalausweis", "reisepass", "steuer", "ausweis", "ssn", "social security", "licence", "license", "führerschein", "aadhaar", "aadhar", "pan", "dni", "nie", "nif", "curp",
+          "nin", "permis de", "numéro fiscal", "pasaporte", "passeport", "national", "citizen", "identity", "voter", "personal", "tax", "student", "id card"),
     "A": ("box ", "postfach ", "apartado ", "boîte ", "bp ", "plot ", "flat ", " road", " street", " lane", " avenue", " row", " terrace", " close", " path", " drive", " way", " court", " square", " place", " garden",
           " crescent", " hill", " grove", " mews", " walk", " rd", " st", " ave", " ln", " dr", "rue ", "avenue ", "impasse ", "chemin ", "place ", "allée ", "boulevard ", "quai ", "route ", "cours ", "passage ", "sentier ",
           "ruelle ", "square ", "calle ", "avenida ", "avda", "plaza ", "camino ", "paseo ", "ronda ", "carrera ", "travesía ", "glorieta ", "c/ ", "weg ", "straße ", "strasse ", "str. ", "gasse ", "platz ", "allee ",
           "ufer ", "ring ", "damm ", "steig ", "hof ", "am ", "an der ", "an den ", "zum ", "zur ", "im ", "in der ", "auf de", "unter den ", "hinter der ", "beim ", "address", "residence", "home", "anschrift", "adresse", "dirección", "lives at"),
-    "N": ("mentored by", "reported to", "supervised by", "managed by", "verified by", "referred by", "coached by", "signed by", "interviewed by", "reviewed by", "certified by", "recommended by", "together with", "reach ",
-          "reference:", "references:", "referee:", "referees:", "c/o", "contact:", "contact :", "attn", "mentor:", "manager:", "supervisor:", "worked with", "worked under"),
-    "T": tuple(f"{b}{t}{e}" for b in ("\n", " ", "(", "/", ",", "-") for t in ("mr", "ms", "mrs", "miss", "dr", "prof", "herr", "frau", "mme", "sr", "sra") for e in (" ", ". ")),
-    "L": ("\nname", "\nfull name", "\ncandidate", "\napplicant", "curriculum vitae of", "resume of", "cv of", "vita of", "\nnom ", "\nnom:", "\nnombre"),
+    "N": ("mentored by", "reported to", "supervised by", "managed by", "verified by", "referred by", "coached by", "signed by", "interviewed by", "reviewed by", "certified by", "recommended by", "together with", "reach",
+          "reference", "referee", "c/o", "contact:", "contact :", "attn", "mentor:", "mentor :", "manager:", "manager :", "supervisor:", "supervisor :", "worked with", "worked under"),
+    "T": tuple(t + e for t in ("mr", "ms", "mrs", "miss", "dr", "prof", "herr", "frau", "mme", "sr", "sra") for e in (" ", ". ")),
+    "L": ("name", "candidate", "applicant", "curriculum vitae of", "resume of", "cv of", "vita of", "nom"),
     "R": ("refere", "r e f e r"),
     "B": ("birth", "dob", "born", "geburtsdatum"),
 }
@@ -142,11 +146,13 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
 
 
-def find_pii(text: str) -> list[tuple[int, int, str]]:
+def find_pii(text: str, gated: bool = True) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every item, in order, without overlaps.
 
     One pass of an automaton finds what can begin an item; the patterns then
-    run on the lines concerned alone.
+    run on the lines concerned alone (on all lines if not ``gated``, with the
+    same result). A full name found anywhere is found wherever else the text
+    has it.
     """
     low = "\n" + _lower(text)
     starts = [0, *(m.start() + 1 for m in re.finditer("\n", text))]
@@ -154,24 +160,43 @@ def find_pii(text: str) -> list[tuple[int, int, str]]:
     for at, kinds in _WATCH.iter(low):
         line = bisect_right(starts, max(at - 1, 0)) - 1
         calls[line] = calls.get(line, "") + kinds
-    for m in _LONG_DIGITS.finditer(text):
-        line = bisect_right(starts, m.start()) - 1
-        calls[line] = calls.get(line, "") + "D"
+    for pattern, kind in ((_LONG_DIGITS, "D"), (_BARE_ID, "K")):
+        for m in pattern.finditer(text):
+            line = bisect_right(starts, m.start()) - 1
+            calls[line] = calls.get(line, "") + kind
+    if not gated:
+        every = "".join(_TRIGGERS) + "DK"
+        calls = {i: every for i in range(len(starts))}
     spans: list[tuple[int, int, str]] = []
     refs = None
-    for line, kinds in calls.items():
+    for line in sorted(calls):
         begin = starts[line]
         end = starts[line + 1] - 1 if line + 1 < len(starts) else len(text)
-        if "R" in kinds:
-            refs = line if refs is None else min(refs, line)
-        spans += [(begin + s, begin + e, k) for s, e, k in _line_items(text[begin:end], kinds)]
+        if "R" in calls[line]:
+            refs = line if refs is None else refs
+        spans += [(begin + s, begin + e, k) for s, e, k in _line_items(text[begin:end], calls[line])]
     if len(starts) > 1:
-        for line in _name_lines(text, starts, refs):
-            begin, m = line
+        for begin, m in _name_lines(text, starts, refs):
             s, e = begin + m.start(1), begin + m.end(1)
             if _clear(spans, s, e):
-                spans.append((s, e, "NAME"))
-    return sorted(spans)
+                insort(spans, (s, e, "NAME"))
+    _repeats(text, spans)
+    return spans
+
+
+def _repeats(text: str, spans: list[tuple[int, int, str]]) -> None:
+    """Adds further places of the full names among ``spans``, as they are spelled there or the other way round."""
+    for name in {text[s:e] for s, e, kind in spans if kind == "NAME"}:
+        words = re.findall(r"[^\W\d_](?:[^\W\d_]|['’-])+", re.sub(rf"^{_TITLE} ", "", name))
+        if len(words) < 2:
+            continue
+        for form in {" ".join(words), f"{words[-1]}, {' '.join(words[:-1])}", f"{' '.join(words[1:])} {words[0]}"}:
+            at = text.find(form)
+            while at >= 0:
+                end = at + len(form)
+                if not (text[at - 1 : at] + text[end : end + 1]).strip(" \t\n,.;:()|/–") and _clear(spans, at, end):
+                    insort(spans, (at, end, "NAME"))
+                at = text.find(form, end)
 
 
 def _line_items(line: str, kinds: str) -> list[tuple[int, int, str]]:
@@ -180,7 +205,7 @@ def _line_items(line: str, kinds: str) -> list[tuple[int, int, str]]:
 
     def add(start: int, end: int, kind: str) -> None:
         if _clear(spans, start, end) and _clear(shut, start, end):
-            spans.append((start, end, kind))
+            insort(spans, (start, end, kind))
 
     if "E" in kinds:
         for m in _EMAIL.finditer(line):
@@ -190,7 +215,7 @@ def _line_items(line: str, kinds: str) -> list[tuple[int, int, str]]:
     if "I" in kinds:
         for m in _ID.finditer(line):
             add(m.start(1), m.end(1), "ID_NUMBER")
-    if "I" in kinds or "D" in kinds:
+    if "K" in kinds:
         for m in _BARE_ID.finditer(line):
             add(m.start(), m.end(), "ID_NUMBER")
     if "D" in kinds:
@@ -255,15 +280,6 @@ def _name_lines(text: str, starts: list[int], refs: int | None) -> Iterator[tupl
                 inside = False
 
 
-def found_lines(text: str) -> list[tuple[int, str]]:
-    """(line_no, kind) of every line that holds an item, counted from 1 at line feeds."""
-    spans = find_pii(text)
-    if not spans:
-        return []
-    breaks = [m.start() for m in re.finditer("\n", text)]
-    return sorted({(bisect_right(breaks, s) + 1, kind) for s, _, kind in spans if kind in KINDS})
-
-
 class Feistel:
     """A keyed permutation of the strings of n symbols of one alphabet (alternating Feistel rounds)."""
 
@@ -307,52 +323,117 @@ class Feistel:
 
 
 DIGITS, LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73_049  # up to the end of 2099
-
-
-def _refill(layout: str, old: str, new: dict[str, str]) -> str:
-    its = {k: iter(v) for k, v in new.items()}
-    return "".join(next(its["d"]) if c.isascii() and c.isdigit() else (next(its["l"]) if c.isupper() else next(its["l"]).lower()) if c.isascii() and c.isalpha() and "l" in its else c for c in layout)
+#: The days that dates of four-digit and of two-digit years are permuted within.
+FOUR_DIGITS, TWO_DIGITS = (datetime.date(1900, 1, 1), 73_049), (datetime.date(1930, 1, 1), 36_525)
+
+
+def _digits(value: str) -> str:
+    """The decimal digits of any script, as ASCII."""
+    return "".join(str(unicodedata.decimal(c)) for c in value if c.isdecimal())
+
+
+def _refill(layout: str, digits: str, letters: str) -> str:
+    """The layout with its digits (in their own script) and ASCII letters (in their own case) replaced in turn."""
+    d, w, out = iter(digits), iter(letters), []
+    for c in layout:
+        if c.isdecimal():
+            c = chr(ord(c) - unicodedata.decimal(c) + int(next(d)))
+        elif letters and c.isascii() and c.isalpha():
+            c = next(w) if c.isupper() else next(w).lower()
+        out.append(c)
+    return "".join(out)
+
+
+# The dihedral group's products and the position permutation of the Verhoeff check, and the check letters of a number modulo 23.
+_PRODUCT = [[(a + b) % 5 + 5 * (b > 4) if a < 5 else ((a - b) % 5 + 5 if b < 5 else (a - b) % 5) for b in range(10)] for a in range(10)]
+_SHIFT = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
+_MOD_23 = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def verhoeff(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        c = int(c)
+        for _ in range(i % 8):
+            c = _SHIFT[c]
+        total = _PRODUCT[total][c]
+    return total == 0
+
+
+def checks(digits: str, letters: str) -> tuple[bool, ...]:
+    """Which rules of well-known document numbers this one fulfils."""
+    shape = (len(digits), len(letters))
+    return (
+        shape == (12, 0) and verhoeff(digits),
+        shape == (8, 1) and letters == _MOD_23[int(digits) % 23],
+        shape == (7, 2) and letters[0] in "XYZ" and letters[1] == _MOD_23[int(str("XYZ".index(letters[0])) + digits) % 23],
+        shape == (9, 0) and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000",
+    )
+
+
+def _date(parts: list[str]) -> tuple[tuple[int, int, int], datetime.date] | None:
+    """The places of year, month and day, and the day: year first, else day first, else month first; two-digit years lie in 1930 to 2029."""
+    if len(parts) != 3:
+        return None
+    for places in ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0), (2, 0, 1)):
+        year = parts[places[0]]
+        if len(year) not in (2, 4):
+            return None
+        full = int(year) + (0 if len(year) == 4 else 2000 if int(year) < 30 else 1900)
+        try:
+            return places, datetime.date(full, int(parts[places[1]]), int(parts[places[2]]))
+        except ValueError:
+            continue
+    return None
 
 
-def pseudonym(value: str, kind: str, feistel: Feistel, back: bool = False) -> str:
-    """A value of the same format: of phones the last ten digits are permuted, of document numbers all digits and all letters, of dates the day.
+def pseudonym(value: str, kind: str, feistel: Feistel, back: bool = False) -> str | None:
+    """A value of the same format: of phones the last ten digits are permuted, of document numbers all digits and (if several) all letters, of dates the day.
 
-    A string that isn't a valid value of its kind is returned as it is.
+    A document number that fulfils a check rule (``checks``) is permuted among
+    those that fulfil it, any other among those that don't. Digits of any
+    script come back in that script. None if the string isn't a valid value of
+    its kind. ``back`` inverts; a month-first date can be read back only if its
+    pseudonym's day is over 12.
     """
-    digits = "".join(c for c in value if c.isascii() and c.isdigit())
     if kind == "PHONE":
         tail = re.search(r"(?i) ?(?:ext|extn|x)\.? ?\d{1,5}$", value)
         body, rest = (value[: tail.start()], tail[0]) if tail else (value, "")
-        digits = "".join(c for c in body if c.isascii() and c.isdigit())
+        digits = _digits(body)
         if not 10 <= len(digits) <= 15:
-            return value
-        return _refill(body, digits, {"d": digits[:-10] + feistel.text(digits[-10:], DIGITS, "PHONE", back)}) + rest
+            return None
+        return _refill(body, digits[:-10] + feistel.text(digits[-10:], DIGITS, "PHONE", back), "") + rest
     if kind == "ID_NUMBER":
-        letters = "".join(c for c in value if c.isascii() and c.isalpha()).upper()
+        digits, letters = _digits(value), "".join(c for c in value if c.isascii() and c.isalpha()).upper()
         if len(digits) < 4:
-            return value
-        new = {"d": feistel.text(digits, DIGITS, "ID", back)}
-        return _refill(value, digits, new | ({"l": feistel.text(letters, LETTERS, "ID", back)} if len(letters) > 1 else {"l": letters}))
+            return None
+        rules, new, word = checks(digits, letters), digits, letters
+        while True:  # the walk stays among numbers of the same rules and ends, at the latest, where it began
+            new = feistel.text(new, DIGITS, "ID", back)
+            word = feistel.text(word, LETTERS, "ID", back) if len(word) > 1 else word
+            if checks(new, word) == rules:
+                return _refill(value, new, word)
     if kind == "DATE_OF_BIRTH":
-        parts = re.split(r"[-/.]", value)
-        order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0)
-        try:
-            day = datetime.date(*(int(parts[i]) for i in order))
-            n = (day - FIRST_DAY).days
-            if not 0 <= n < DAYS or len(parts[order[0]]) != 4:
-                return value
-        except ValueError:
-            return value
+        seps, parts = re.findall(r"[-/. ]", value), re.split(r"[-/. ]", value)
+        read = _date([_digits(p) for p in parts]) if all(p.isdecimal() for p in parts) else None
+        if read is None:
+            return None
+        places, day = read
+        short = len(parts[places[0]]) == 2
+        start, days = TWO_DIGITS if short else FOUR_DIGITS
+        n, side = (day - start).days, math.isqrt(days - 1) + 1
+        if not 0 <= n < days:
+            return None
         walk = feistel.invert if back else feistel.permute
-        n = walk(n, 271, 271, "DATE")  # 271 x 271 is the least square over DAYS; walk on until inside
-        while n >= DAYS:
-            n = walk(n, 271, 271, "DATE")
-        new = FIRST_DAY + datetime.timedelta(days=n)
-        filled = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
-        seps = re.findall(r"[-/.]", value)
-        return filled[0] + seps[0] + filled[1] + seps[1] + filled[2]
-    return value
+        n = walk(n, side, side, f"DATE{days}")  # a square over the days; walk on until inside
+        while n >= days:
+            n = walk(n, side, side, f"DATE{days}")
+        new_day = start + datetime.timedelta(days=n)
+        filled = dict(zip(places, (f"{new_day.year % 100:02d}" if short else f"{new_day.year:04d}", f"{new_day.month:02d}", f"{new_day.day:02d}")))
+        zero = next(ord(c) - unicodedata.decimal(c) for c in value if c.isdecimal())
+        plain = filled[0] + seps[0] + filled[1] + seps[1] + filled[2]
+        return "".join(chr(zero + int(c)) if c.isdecimal() else c for c in plain)
+    return None
 
 
 def _tag(value: str, kind: str, key: bytes) -> str:
@@ -361,21 +442,33 @@ def _tag(value: str, kind: str, key: bytes) -> str:
 
 
 class Redactor:
-    """Replaces items by typed placeholders: [PHONE +13 40721 ...] for numbers and dates, [NAME 5f0c...] otherwise."""
+    """Replaces items by typed placeholders: [PHONE +13 40721 ...] for valid numbers and dates, [NAME 5f0c...] otherwise."""
 
     def __init__(self, key: bytes):
         self.key, self.feistel = key, Feistel(key)
         self.value = lru_cache(maxsize=100_000)(self._value)
 
     def _value(self, value: str, kind: str) -> str:
-        if kind in ("PHONE", "ID_NUMBER", "DATE_OF_BIRTH"):
-            return f"[{kind} {pseudonym(value, kind, self.feistel)}]"
-        return f"[{kind} {_tag(value, kind, self.key)}]"
+        new = pseudonym(value, kind, self.feistel)
+        # no pseudonym, or by chance the value itself: a keyed tag tells nothing of it
+        return f"[{kind} {_tag(value, kind, self.key) if new is None or new == value else new}]"
+
+    def items(self, text: str) -> list[tuple[int, int, str, str]]:
+        """(start, end, kind, placeholder) of every item, in order."""
+        return [(s, e, kind, self.value(text[s:e], kind)) for s, e, kind in find_pii(text)]
+
+    def lines(self, text: str) -> list[tuple[int, str]]:
+        """(line_no, kind) of every line that gets a placeholder of one of KINDS, counted from 1 at line feeds."""
+        items = self.items(text)
+        if not items:
+            return []
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        return sorted({(bisect_right(breaks, s) + 1, kind) for s, _, kind, new in items if kind in KINDS and new})
 
     def __call__(self, text: str) -> str:
         out, at = [], 0
-        for start, end, kind in find_pii(text):
-            out += [text[at:start], self.value(text[start:end], kind)]
+        for start, end, _, new in self.items(text):
+            out += [text[at:start], new]
             at = end
         return "".join([*out, text[at:]])
 
@@ -393,17 +486,18 @@ def redacted(text: Column, key: bytes) -> Column:
     return run(text)
 
 
-def pii_lines(rows: DataFrame, kind: str, key: str, text: str) -> DataFrame:
-    """(record_kind, record_id, line_no, pii_kind) of every line that holds an item, one row a line and kind.
+def pii_lines(rows: DataFrame, kind: str, key: str, text: str, secret: bytes) -> DataFrame:
+    """(record_kind, record_id, line_no, pii_kind) of every line in which the redaction with ``secret`` sets a placeholder, one row a line and kind.
 
     Null keys and texts give no row; a key that comes twice with one text
     gives its rows once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        redact = Redactor(secret)
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
-            found = [found_lines(t) for t in coded.dictionary.to_pylist()]
+            found = [redact.lines(t) for t in coded.dictionary.to_pylist()]
             ids, lines, kinds = [], [], []
             for row, code in zip(batch.column(0).to_pylist(), coded.indices.to_pylist()):
                 for line, what in found[code]:

@@ -62,7 +62,7 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.pii_lines(table(spark, d, "resumes"), "resumes", "resume_id", "raw_text").unionByName(pii.pii_lines(table(spark, d, "skill_matches"), "skill_matches", "match_id", "evidence"))
+    return pii.pii_lines(table(spark, d, "resumes"), "resumes", "resume_id", "raw_text", DEMO_KEY).unionByName(pii.pii_lines(table(spark, d, "skill_matches"), "skill_matches", "match_id", "evidence", DEMO_KEY))
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
