@@ -1,11 +1,14 @@
 """Problem 4: freely typed values mapped to a reference list.
 
 A multi-pattern automaton over the canonical names and aliases finds embedded
-mentions; the longest non-overlapping ones win, and a value is mapped by them
-when what is left over only qualifies (a level, a time span, a version). Other
-values go to token-set similarity: the value's words, in their order, sorted
-and run together, against each name's, within an edit budget that grows with
-length; a deletion index proposes the few names worth measuring.
+mentions; the longest non-overlapping ones win, and a value is mapped by them,
+to several entries if it names several, when what is left over only qualifies
+(a level, a time span, a version). Other values go to token-set similarity:
+the value's words are matched with a name's one to one in whatever order, or
+both run together, and the edits of all words together must stay within a
+budget that grows with the name's length. A deletion index proposes the names
+worth measuring: whole names up to two edits, and names long enough for three
+edits by their halves, one of which has two edits at most.
 
 Mapping is a narrow stage: the reference list (a checked size) travels with
 the function, each worker remembers the values it has seen, nothing is joined,
@@ -16,12 +19,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, permutations
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from .confusables import canonical_form
 from .links import STAND_INS
@@ -77,83 +80,126 @@ def _deletions(word: str, most: int) -> set[str]:
     return out
 
 
+def token_set_edits(a: str, b: str, most: int) -> int:
+    """The edits between two sets of words: matched one to one in any order, or run together; most + 1 if over ``most``."""
+    best = osa(compact(a), compact(b), most)
+    left, right = a.split(), b.split()
+    if len(left) == len(right) > 1:
+        cost, free = 0, list(right)
+        for word in sorted(left, key=len, reverse=True):  # the longest word has the fewest near ones
+            d, other = min((osa(word, x, most), x) for x in free)
+            cost += d
+            free.remove(other)
+            if cost > most:
+                break
+        best = min(best, cost)
+    return min(best, most + 1)
+
+
 class Matcher:
     """Maps single values; built from (key, names) where names are in order of preference."""
 
-    def __init__(self, entries: list[tuple[str, list[str]]], most: int = 2):
+    def __init__(self, entries: list[tuple[str, list[str]]]):
         self.exact: dict[str, str] = {}
         self.tight: dict[str, str] = {}
         self.automaton = ahocorasick.Automaton()
         self.near: dict[str, set[str]] = {}
-        self.keys: dict[str, str] = {}
-        self.most = most
+        self.halves: tuple[dict[str, set[str]], dict[str, set[str]]] = ({}, {})
         for rank in range(max((len(n) for _, n in entries), default=0)):  # all canonical names before all first aliases, and so on
             for key, names in entries:
                 if rank < len(names) and (flat := flat_form(names[rank])):
                     self.exact.setdefault(flat, key)
                     self.tight.setdefault(compact(flat), key)
+        self.longest = max(map(len, self.exact), default=0)
         for flat, key in self.exact.items():
             self.automaton.add_word(flat, (flat, key))
-            for form in {compact(flat), compact(" ".join(sorted(flat.split())))}:
-                if edit_budget(len(form)):
-                    self.keys.setdefault(form, key)
-        for form in self.keys:
-            for part in _deletions(form, min(edit_budget(len(form)), most)):
-                self.near.setdefault(part, set()).add(form)
+            form = compact(flat)
+            budget = edit_budget(len(form))
+            if budget == 3:
+                half = len(form) // 2
+                for index, piece in zip(self.halves, (form[:half], form[half:])):
+                    for part in _deletions(piece, 2):
+                        index.setdefault(part, set()).add(flat)
+            elif budget:
+                for part in _deletions(form, budget):
+                    self.near.setdefault(part, set()).add(flat)
         if len(self.automaton):
             self.automaton.make_automaton()
 
     def mentions(self, flat: str) -> tuple[list[tuple[int, int, str]], str]:
-        """The longest non-overlapping mentions (start, end, key), and what is left of the text."""
+        """The longest non-overlapping mentions (start, end, key) in their order, and what is left of the text."""
         spans = []
         if len(self.automaton):
             for last, (name, key) in self.automaton.iter(flat):
                 start, end = last - len(name) + 1, last + 1
                 if (start == 0 or flat[start - 1] == " ") and (end == len(flat) or flat[end] == " "):
                     spans.append((start, end, key))
+        used = bytearray(len(flat))
         taken: list[tuple[int, int, str]] = []
-        for span in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
-            if all(span[1] <= t[0] or span[0] >= t[1] for t in taken):
-                taken.append(span)
+        for start, end, key in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
+            if not used[start] and not used[end - 1]:  # a longer span that overlaps this one covers one of its ends
+                used[start:end] = b"\1" * (end - start)
+                taken.append((start, end, key))
+        taken.sort()
         rest, at = [], 0
-        for start, end, _ in sorted(taken):
+        for start, end, _ in taken:
             rest.append(flat[at:start])
             at = end
         return taken, " ".join([*rest, flat[at:]])
 
+    def _candidates(self, form: str) -> set[str]:
+        names: set[str] = set()
+        if len(form) < 18:  # names in this index have 15 characters at most, and two edits
+            for part in _deletions(form, min(2, edit_budget(len(form) + 2))):
+                names |= self.near.get(part, set())
+        if len(form) > 12:
+            for n in range((len(form) - 3) // 2 - 2, (len(form) + 3) // 2 + 4):
+                for index, piece in zip(self.halves, (form[:n], form[-n:])):
+                    for part in _deletions(piece, 2):
+                        names |= index.get(part, set())
+        return names
+
     def similar(self, flat: str) -> str | None:
-        """The nearest name within its edit budget, by token-set similarity; ties go to the smaller key."""
+        """The nearest name within its edit budget, by token-set similarity; ties go to the smaller key.
+
+        Words may be in any order up to three words, beyond that in their own
+        or in alphabetical order. A value longer than the longest name can be
+        is like none.
+        """
+        words = flat.split()
+        if len(compact(flat)) < 3 or len(flat) > self.longest + len(words) + 3:
+            return None
+        orders = {"".join(p) for p in permutations(words)} if len(words) <= 3 else {"".join(words), "".join(sorted(words))}
         best: tuple[float, str] | None = None
-        for form in {compact(flat), compact(" ".join(sorted(flat.split())))}:
-            if len(form) < 3:
-                continue
-            seen: set[str] = set()
-            for part in _deletions(form, min(self.most, edit_budget(len(form) + 1))):
-                seen |= self.near.get(part, set())
-            for name in seen:
-                budget = edit_budget(len(name))
-                d = osa(form, name, budget)
-                if d <= budget:
-                    rank = (d / max(len(form), len(name)), self.keys[name])
-                    best = rank if best is None or rank < best else best
+        for name in set().union(*(self._candidates(compact(o)) for o in orders)):
+            size = len(compact(name))
+            budget = edit_budget(size)
+            d = token_set_edits(flat, name, budget)
+            if d <= budget:
+                rank = (d / max(len(compact(flat)), size), self.exact[name])
+                best = rank if best is None or rank < best else best
         return best[1] if best else None
 
-    def __call__(self, value: str) -> str:
+    def all(self, value: str) -> list[str]:
+        """The keys of all entries a value names, in its order; ``unmatched`` if none."""
         flat = flat_form(value)
         if not flat or flat in STAND_INS or value.strip().lower() in STAND_INS:
-            return UNMATCHED
+            return [UNMATCHED]
         if hit := self.exact.get(flat) or self.tight.get(compact(flat)):
-            return hit
+            return [hit]
         bare = " ".join(_VERSION.sub("", w) if not _NUMBER.fullmatch(w) else "" for w in flat.split())
         bare = " ".join(bare.split())
         for text in dict.fromkeys((flat, bare)):
             taken, rest = self.mentions(text)
             if taken and all(w in QUALIFIERS or _NUMBER.fullmatch(w) for w in rest.split()):
-                return taken[0][2]
+                return list(dict.fromkeys(key for _, _, key in taken))
         stripped = " ".join(w for w in bare.split() if w not in QUALIFIERS) or bare
         if hit := self.exact.get(stripped) or self.tight.get(compact(stripped)):
-            return hit
-        return self.similar(flat) or (self.similar(stripped) if stripped != flat else None) or UNMATCHED
+            return [hit]
+        return [self.similar(flat) or (self.similar(stripped) if stripped != flat else None) or UNMATCHED]
+
+    def __call__(self, value: str) -> str:
+        return self.all(value)[0]
 
 
 def read_entries(ontology: DataFrame, most: int = 50_000) -> list[tuple[str, list[str]]]:
@@ -164,16 +210,17 @@ def read_entries(ontology: DataFrame, most: int = 50_000) -> list[tuple[str, lis
     return [(r[0], [n for n in (r[1], *(r[2] or [])) if n]) for r in rows]
 
 
-def canonical_key(value: Column, entries: list[tuple[str, list[str]]], memory: int = 200_000) -> Column:
-    """The reference key a value means, or ``unmatched``; null stays null."""
+def canonical_keys(value: Column, entries: list[tuple[str, list[str]]], memory: int = 200_000) -> Column:
+    """The keys of the entries a value names, or [``unmatched``]; null stays null, and a canonical name as it stands has none."""
+    names = {n[0] for _, n in entries if n}
 
-    @F.pandas_udf(StringType())
+    @F.pandas_udf(ArrayType(StringType()))
     def mapped(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher, known = Matcher(entries), {}
         for series in values:
             for v in series.dropna().unique():
                 if v not in known:
-                    known[v] = matcher(v)
+                    known[v] = [] if v in names else matcher.all(v)
             yield series.map(known)
             if len(known) > memory:
                 known.clear()
@@ -186,14 +233,12 @@ def mapped_values(values: DataFrame, ontology: DataFrame) -> DataFrame:
 
     ``values`` has record_kind, record_id and raw_value. Null and blank values
     give no row; repeated rows count once; an empty reference list leaves
-    every value unmatched.
+    every value unmatched; a value that names several entries and nothing else
+    has a row for each.
     """
-    entries = read_entries(ontology)
-    names = [n[0] for _, n in entries if n]
     todo = values.select("record_kind", "record_id", "raw_value").where(F.col("raw_value").isNotNull() & F.col("raw_value").rlike(r"(?U)\S"))
-    if names:
-        todo = todo.where(~F.col("raw_value").isin(names))
-    return todo.distinct().withColumn("skill_key", canonical_key(F.col("raw_value"), entries))
+    keyed = todo.distinct().withColumn("keys", canonical_keys(F.col("raw_value"), read_entries(ontology)))
+    return keyed.select("record_kind", "record_id", "raw_value", F.explode("keys").alias("skill_key"))
 
 
 def entered_skills(resumes: DataFrame, requirements: DataFrame, matches: DataFrame) -> DataFrame:

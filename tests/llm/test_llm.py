@@ -154,6 +154,38 @@ def test_values(value, key):
     assert canonical.Matcher(ENTRIES)(value) == key
 
 
+def test_every_edit_within_the_budget_is_found():
+    names = ["machine learning engineering", "distributed systems", "kubernetes", "data base"]
+    matcher, rng = canonical.Matcher([(n, [n]) for n in names]), random.Random(12)
+    for _ in range(400):
+        name = rng.choice(names)
+        words, edits = name.split(), rng.randrange(1, canonical.edit_budget(len(canonical.compact(name))) + 1)
+        rng.shuffle(words)
+        text = list(" ".join(words))
+        for _ in range(edits):
+            at = rng.choice([i for i, c in enumerate(text) if c != " "])
+            kind = rng.randrange(4)
+            if kind == 3 and at + 1 < len(text) and text[at + 1] != " ":
+                text[at], text[at + 1] = text[at + 1], text[at]
+            elif kind == 0:
+                text[at : at + 1] = []
+            else:
+                text[at : at + (kind == 1)] = rng.choice("abcxyz")
+        value = "".join(text)
+        # edits that touch each other can be more than their number by the distance's rules
+        if len(value.split()) == len(words) and canonical.token_set_edits(value, name, 3) <= canonical.edit_budget(len(canonical.compact(name))):
+            assert matcher.similar(value) == name, value
+    assert matcher("machne lerning enginering") == names[0] and matcher("Enginering, lerning machne") == names[0]
+
+
+def test_several_mentions_and_long_values(spark):
+    matcher = canonical.Matcher(ENTRIES)
+    assert matcher.all("Python and Go") == ["python", "go"] and matcher.all("python / unicycling") == ["unmatched"]
+    began = time.time()
+    assert matcher("x" * 800) == "unmatched" and matcher("lorem ipsum " * 50_000) == "unmatched" and matcher.all("python, go; " * 20_000) == ["python", "go"]
+    assert time.time() - began < 5
+
+
 def test_osa_against_brute_force():
     def slow(a, b):
         d = [[max(i, j) if min(i, j) == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
