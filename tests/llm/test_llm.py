@@ -426,6 +426,25 @@ def test_different_looks(a, b):
     assert confusables.canonical_form(a) != confusables.canonical_form(b)
 
 
+def test_looks_of_all_scripts(spark):
+    looks = confusables.looks_of(spark)
+    assert len(looks.latin) > 200 and len(looks.spell) > 10
+    form = lambda t: confusables.canonical_form(t, looks)
+    for a, b in [("Ꭰog", "Dog"), ("ꓐꓮꓣ", "BAR"), ("Ⲙore", "More"), ("kıt", "kit"), ("straβe", "straße"), ("ᎪᎢ", "AT"), ("𐊠bc", "Abc"), ("гора", "гора")]:
+        assert form(a) == form(b) and form(form(a)) == form(a)
+    for a, b in [("гора", "ropa"), ("σου", "οου"), ("ᎣᎤ", "OU"), ("שלום", "olv")]:
+        assert form(a) != form(b)
+    for script, spelled in looks.spell.items():  # a spelling leads back to its letter, and differs from all others
+        assert len(set(spelled.values())) == len(spelled) and all(looks.latin[o] == a for a, o in spelled.items())
+
+
+def test_overridden_direction():
+    rlo, lro, pdf = "\u202e", "\u202d", "\u202c"
+    form = confusables.canonical_form
+    assert form(f"pay {rlo}cba{pdf} now") == "pay abc now" and form(f"{rlo}cba\nxyz") == "abc\nxyz" and form(f"{lro}abc{pdf}") == "abc"
+    assert form(f"{rlo}fed{lro}abc{pdf}{pdf}") == "abcdef" and form(f"{rlo}c{rlo}b{pdf}a{pdf}d") == "abcd"
+
+
 def test_whole_script_words_keep_their_script():
     assert confusables.canonical_form("привет, мир") == "привет, мир" and confusables.canonical_form("καλή ομάδα") == "καλή ομάδα"
 
