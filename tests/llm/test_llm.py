@@ -322,6 +322,21 @@ def test_near_duplicates(spark, block):
     assert got == brute_pairs(rows, 0.7)
 
 
+def test_one_block_of_all_texts(spark, monkeypatch):
+    """Every text shares a long passage, so most block keys are one block that is over the bound many times."""
+    monkeypatch.setattr(neardup, "PAIRS_HELD", 50)
+    rng = random.Random(16)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"v{rng.randrange(4000)}" for _ in range(rng.choice([2, 15, 40, 120]))]
+        rows.append((i, " ".join(common + own)))
+    df = spark.createDataFrame(rows, "id long, text string")
+    for block, per_key in ((7, 2), (40, 3)):
+        pairs, members = neardup.near_pairs(df, "id", "text", 0.7, block_rows=block, rows_a_key=per_key)
+        assert {tuple(r) for r in neardup.expand(pairs, members).select("a", "b").collect()} == brute_pairs(rows, 0.7)
+
+
 def test_tiles_skip_nothing_within_the_radius():
     rng = np.random.default_rng(7)
     n = 700
@@ -330,8 +345,9 @@ def test_tiles_skip_nothing_within_the_radius():
     sig[1::2, 0] ^= np.uint64(0xFFFF)  # 16 bits apart
     cols = {"s1": sig[:, 0].copy(), "s2": sig[:, 1].copy(), "size": rng.integers(80, 100, n), "id": np.arange(n)}
     cols["pop"] = (np.bitwise_count(cols["s1"]) + np.bitwise_count(cols["s2"])).astype(np.int64)
-    a, b = neardup.compare_tiles(cols, None, 0.7, tile=64)
-    got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    found = [(min(x, y), max(x, y)) for a, b in neardup.compare_tiles(cols, None, 0.7, tile=64) for x, y in zip(a.tolist(), b.tolist())]
+    got = set(found)
+    assert len(found) == len(got)
     far = np.bitwise_count(cols["s1"][:, None] ^ cols["s1"]) + np.bitwise_count(cols["s2"][:, None] ^ cols["s2"])
     small, large = np.minimum(cols["size"][:, None], cols["size"]), np.maximum(cols["size"][:, None], cols["size"])
     want = {(x, y) for x, y in zip(*np.nonzero((far <= neardup.RADIUS) & (small >= 0.7 * large))) if x < y}
