@@ -13,30 +13,43 @@ from . import canonical, confusables, links, mixing, neardup, packing, pii, surv
 DEMO_KEY = b"rankloom demonstration key"
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     resumes = table(spark, d, "resumes")
-    groups = cut(links.identity_groups(table(spark, d, "ranked_candidates"), resumes))
-    found, _ = survivors.survivors(cut(survivors.copies(resumes, groups)))
-    return found.select("group_id", "field_name", "resume_id")
+    return resumes, cut(links.identity_groups(table(spark, d, "ranked_candidates"), resumes))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The stated order of copies fixes these rows; the model decides in the other three queries."""
+    return survivors.survivors(survivors.copies(*_groups(spark, d)))
+
+
+def p1_judged(spark: SparkSession, d: str) -> DataFrame:
+    """The copy that supplies each field when the model judges which values are true."""
+    resumes, groups = _groups(spark, d)
+    return survivors.judged_survivors(cut(survivors.copies(resumes, groups)), survivors.sources_of(resumes))[0]
 
 
 def p1_retained(spark: SparkSession, d: str) -> DataFrame:
     """Every skill and link of a group that the model judges true."""
-    resumes = table(spark, d, "resumes")
-    groups = cut(links.identity_groups(table(spark, d, "ranked_candidates"), resumes))
-    out = [survivors.retained_values(resumes, groups, f) for f in survivors.MULTI]
+    resumes, groups = _groups(spark, d)
+    sources = survivors.sources_of(resumes)
+    out = [survivors.retained_values(resumes, groups, f, sources) for f in survivors.MULTI]
     return out[0].unionByName(out[1])
 
 
 def p1_record(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving record of each group, its values taken field by field."""
-    resumes = table(spark, d, "resumes")
-    groups = cut(links.identity_groups(table(spark, d, "ranked_candidates"), resumes))
-    found, _ = survivors.survivors(cut(survivors.copies(resumes, groups)))
+    """The surviving record of each group: single values field by field from the first usable copy, and every skill and link judged true."""
+    resumes, groups = _groups(spark, d)
+    found = survivors.survivors(survivors.copies(resumes, groups))
     wide = found.groupBy("group_id").agg(*(F.max(F.when(F.col("field_name") == f, F.col("resume_id"))).alias(f"from_{f}") for f in survivors.SINGLE))
     for f in survivors.SINGLE:
         wide = wide.join(resumes.select(F.col("resume_id").cast("long").alias(f"from_{f}"), f), f"from_{f}", "left")
-    return wide.select("group_id", *survivors.SINGLE)
+    sources = survivors.sources_of(resumes)
+    for f in survivors.MULTI:
+        # the distinct values of one person
+        kept = survivors.retained_values(resumes, groups, f, sources).groupBy("group_id").agg(F.array_sort(F.collect_set("value")).alias(f))
+        wide = wide.join(kept, "group_id", "left")
+    return wide.select("group_id", *survivors.SINGLE, *survivors.MULTI)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -126,5 +139,5 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (p1_found, p1_retained, p1_record, p2_found, p3_found, p3_ranked, p4_found, p4_unmatched, p5_found, p5_redacted, p6_found, p6_groups, p7_pack, p7_fill, p8_mix, p8_mix_all, p8_shares, p8_shares_all, p9_found, p9_canonical)
+    fs = (p1_found, p1_judged, p1_retained, p1_record, p2_found, p3_found, p3_ranked, p4_found, p4_unmatched, p5_found, p5_redacted, p6_found, p6_groups, p7_pack, p7_fill, p8_mix, p8_mix_all, p8_shares, p8_shares_all, p9_found, p9_canonical)
     return {f.__name__: f for f in fs}

@@ -100,24 +100,38 @@ def test_survivors_order_and_usability(spark):
     ]
     resumes = spark.createDataFrame(rows, schema)
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "resume_id long, group_id long")
-    found, model = survivors.survivors(survivors.copies(resumes, groups))
-    assert {(r["field_name"], r["resume_id"]) for r in found.collect()} == {("name", 2), ("email", 2), ("phone", 3), ("years_experience", 3), ("raw_text", 1)}
-    assert all(0 < v < 1 for v in model.sensitivity.values())
-    kept = {(r["value"]) for r in survivors.retained_values(resumes, groups, "skills", 0.0).collect()}
+    members, sources = survivors.copies(resumes, groups), survivors.sources_of(resumes)
+    assert sources == ["pdfplumber", "xml", "other"]
+    want = {("name", 2), ("email", 2), ("phone", 3), ("years_experience", 3), ("raw_text", 1)}
+    assert {(r["field_name"], r["resume_id"]) for r in survivors.survivors(members).collect()} == want
+    judged, model = survivors.judged_survivors(members, sources)
+    assert {r["field_name"] for r in judged.collect()} == {f for f, _ in want} and all(0 < v < 1 for v in model.sensitivity.values())
+    kept = {(r["value"]) for r in survivors.retained_values(resumes, groups, "skills", sources, 0.0).collect()}
     assert kept == {"a", "b", "c"}
-    empty, _ = survivors.survivors(survivors.copies(resumes.limit(0), groups))
-    assert empty.count() == 0
-
-
-def test_em_tells_good_sources_from_bad(spark):
-    rng, rows = random.Random(1), []
-    for g in range(400):
-        for s, (hit, miss) in {"xml": (0.95, 0.02), "ocr": (0.5, 0.4)}.items():
-            for v, true in ((1, True), (2, False)):
-                if rng.random() < (hit if true else miss):
-                    rows.append((g, "skills", v, True, s))
-    claims = spark.createDataFrame(rows, "group_id long, field_name string, value long, ok boolean, method string")
-    model = survivors.fit(survivors.facts(claims))
+    empty = survivors.copies(resumes.limit(0), groups)
+    assert survivors.survivors(empty).count() == 0 and survivors.judged_survivors(empty, ["other"])[0].count() == 0
+
+
+def test_em_recovers_planted_truth(spark):
+    """Values that careless sources invent are dropped, and those that good ones state once are kept."""
+    rng, rows, truth = random.Random(1), [], set()
+    quality = {"xml": (0.95, 0.01), "pdf": (0.85, 0.03), "ocr": (0.55, 0.30), "salvage": (0.35, 0.25)}  # chance to state a true value, a false one
+    for g in range(600):
+        true = {f"t{v}" for v in rng.sample(range(30), 4)}
+        truth |= {(g, v) for v in true}
+        for s in rng.sample(sorted(quality), 3):
+            said = [v for v in sorted(true) if rng.random() < quality[s][0]] + [f"f{v}" for v in range(8) if rng.random() < quality[s][1]]
+            rows.append((g * 10 + len(rows) % 10, g, f" {s.upper()} ", said))
+    resumes = spark.createDataFrame([(i, m, v) for i, (_, _, m, v) in enumerate(rows)], "resume_id long, extraction_method string, skills array<string>")
+    groups = spark.createDataFrame([(i, g) for i, (_, g, _, _) in enumerate(rows)], "resume_id long, group_id long")
+    sources = survivors.sources_of(resumes)
+    kept = {(r["group_id"], r["value"]) for r in survivors.retained_values(resumes, groups, "skills", sources).collect()}
+    stated = {(g, v) for _, g, _, said in rows for v in said}
+    right = kept & truth
+    assert len(right) / len(kept) >= 0.9 and len(right) / len(truth & stated) >= 0.9
+    assert len(truth & stated) / len(stated) < 0.75  # without the model, a quarter of all values would be false
+    claims = resumes.join(groups, "resume_id").select("group_id", F.lit("skills").alias("field_name"), F.explode("skills").alias("value"), F.lit(True).alias("ok"), survivors.method_key(F.col("extraction_method")).alias("method"))
+    model = survivors.fit(survivors.facts(claims, sources), sources)
     assert model.sensitivity["xml"] > model.sensitivity["ocr"] + 0.2 and model.specificity["xml"] > model.specificity["ocr"]
 
 
