@@ -217,6 +217,19 @@ def normalize_column(text: Column) -> Column:
     return canonical(text)
 
 
+def look_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, spellings): of each row the smallest key of all rows that look the same, and the number of their spellings.
+
+    The form of ``look_alikes`` that grows with the rows alone. Null texts and
+    null keys give no row.
+    """
+    rows = cut(documents.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key).alias("id"), F.md5(F.encode(normalize_column(F.col(text)), "UTF-8")).alias("look"), F.md5(F.encode(text, "UTF-8")).alias("spelling")
+    ).distinct())
+    classes = rows.groupBy("look", "spelling").agg(F.min("id").alias("low")).groupBy("look").agg(F.min("low").alias("class_id"), F.count("*").alias("spellings"))
+    return rows.join(classes, "look").select(F.col("id").alias("doc_id"), "class_id", "spellings").distinct()
+
+
 def look_alikes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_a, doc_b): rows whose texts look the same while the strings differ, smaller key first.
 

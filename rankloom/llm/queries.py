@@ -138,6 +138,10 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", confusables.normalize_column(F.col("text")).alias("canonical_text"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return confusables.look_classes(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (p1_found, p1_judged, p1_retained, p1_record, p2_found, p3_found, p3_ranked, p4_found, p4_unmatched, p5_found, p5_redacted, p6_found, p6_groups, p7_pack, p7_fill, p8_mix, p8_mix_all, p8_shares, p8_shares_all, p9_found, p9_canonical)
+    fs = (p1_found, p1_judged, p1_retained, p1_record, p2_found, p3_found, p3_ranked, p4_found, p4_unmatched, p5_found, p5_redacted, p6_found, p6_groups, p7_pack, p7_fill, p8_mix, p8_mix_all, p8_shares, p8_shares_all, p9_found, p9_classes, p9_canonical)
     return {f.__name__: f for f in fs}

@@ -483,4 +483,5 @@ def test_look_alikes(spark):
     rows = [(1, "Python"), (2, "Рython"), (3, "Python"), (4, "python"), (5, None), (6, ""), (7, "​"), (None, "Pуthon"), (2, "Рython")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("look", F.lit("clash"))
     assert {tuple(r) for r in confusables.look_alikes(df).collect()} == {(1, 2), (2, 3), (6, 7)}
+    assert {tuple(r) for r in confusables.look_classes(df).collect()} == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 1), (6, 6, 2), (7, 6, 2)}
     assert confusables.look_alikes(df.limit(0)).count() == 0
