@@ -15,19 +15,8 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, v: s + v)
 
 
-def similarities(chunks: DataFrame, requirements: DataFrame) -> DataFrame:
-    """(doc, chunk, section weight, req, kind, sim) for every chunk and every requirement of the one query document.
-
-    The requirements of one query document are a stated, small query set; they
-    are packed into one row's array and each chunk is scanned once.
-    """
-    packed = requirements.agg(F.collect_list(F.struct("req_no", "kind", "vector")).alias("reqs")).select("reqs").scalar()
-    each = chunks.withColumn("r", F.explode(packed))
-    return each.select("doc", "chunk", "weight", F.col("r.req_no").alias("req_no"), F.col("r.kind").alias("kind"), dot(F.col("vector"), F.col("r.vector")).alias("sim"))
-
-
-def similarities_in_blocks(chunks: DataFrame, requirements: DataFrame, block: int = 64) -> DataFrame:
-    """``similarities`` for any number of requirements: ``block`` of them in a row's array, every chunk against every row."""
+def similarities(chunks: DataFrame, requirements: DataFrame, block: int = 64) -> DataFrame:
+    """(doc, chunk, weight, req_no, kind, sim) for every chunk and every requirement; ``block`` requirements are packed in a row's array, so each chunk is read once a block."""
     from .ranking import ranked
 
     numbered = ranked(requirements, [F.col("req_no").asc()]).withColumn("_b", F.expr(f"(rank - 1) div {block}"))

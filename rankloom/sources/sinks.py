@@ -14,8 +14,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header and doubled quotes; arrays are joined by ``; ``."""
-    flat = [F.array_join(c, "; ").alias(c) if t.startswith("array<string") else F.to_json(c).alias(c) if t.startswith(("struct", "map", "array")) else F.col(c) for c, t in df.dtypes]
+    """CSV with a header in every file that has rows, and doubled quotes; arrays are joined by ``; ``. Columns whose names begin with ``_`` stay out."""
+    public = [(c, t) for c, t in df.dtypes if not c.startswith("_")]
+    flat = [F.array_join(c, "; ").alias(c) if t.startswith("array<string") else F.to_json(c).alias(c) if t.startswith(("struct", "map", "array")) else F.col(c) for c, t in public]
     df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
