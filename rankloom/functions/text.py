@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CHUNK_MAX_WORDS, CHUNK_MIN_WORDS
 
@@ -76,12 +76,20 @@ def words_of(line: Column) -> Column:
     return F.filter(F.split(F.trim(line), r"[ \t]+"), lambda w: w != "")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; for use inside lambdas, where no projection can hold it."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def looks_like_heading(line: Column) -> Column:
     """At most 60 characters and 6 words, no closing ``. , ;``, and mostly capitals, a closing colon, or capitalised words."""
-    s = F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
-    letters, upper = F.regexp_count(s, F.lit("[A-Za-z]")), F.regexp_count(s, F.lit("[A-Z]"))
-    capped = F.forall(words_of(s), lambda w: ~w.rlike("^[a-z]"))
-    return (F.length(s) > 0) & (F.length(s) <= 60) & (F.size(words_of(s)) <= 6) & ~s.rlike("[.,;]$") & (letters > 0) & ((upper / letters > 0.7) | s.endswith(":") | capped)
+
+    def shape(s: Column) -> Column:
+        letters, upper = F.regexp_count(s, F.lit("[A-Za-z]")), F.regexp_count(s, F.lit("[A-Z]"))
+        capped = F.forall(words_of(s), lambda w: ~w.rlike("^[a-z]"))
+        return (F.length(s) > 0) & (F.length(s) <= 60) & ~s.rlike("[.,;]$") & (F.size(words_of(s)) <= 6) & (letters > 0) & ((upper / letters > 0.7) | s.endswith(":") | capped)
+
+    return bound(F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", ""), shape)
 
 
 def heading_key(line: Column) -> Column:
@@ -94,16 +102,34 @@ def section_of(key: Column) -> Column:
     pairs = sorted(((s, name) for name, all_of in SECTION_HEADINGS.items() for s in all_of.split("|")), key=lambda p: (-len(p[0]), p[0]))
     exact = F.create_map(*[F.lit(x) for name, all_of in SECTION_HEADINGS.items() for syn in all_of.split("|") for x in (syn, name)])
     longest_first = F.array(*[F.struct(F.lit(syn).alias("syn"), F.lit(name).alias("sec")) for syn, name in pairs if len(syn) >= 6])
-    inside = F.filter(longest_first, lambda p: F.contains(key, p["syn"]) & (F.length(key) <= F.length(p["syn"]) + 18))
+    within = F.filter(longest_first, lambda p: F.contains(key, p["syn"]) & (F.length(key) <= F.length(p["syn"]) + 18))
+    inside = F.when(key.rlike("|".join(syn for syn, _ in pairs if len(syn) >= 6)), within)  # few keys hold any
     return F.coalesce(F.try_element_at(exact, key), F.try_element_at(inside, F.lit(1))["sec"])
 
 
+def sectioned(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """(key, keep..., sl): each text's lines as an array of (line_no, line, section, is_heading); null for a null text.
+
+    Headings are found first; the stretches between them are then laid out one
+    after another, so a text is walked twice and nothing is shuffled.
+    """
+    ls = rows.select(key, *keep, F.split(text, "\n").alias("_ls"))
+    mark = lambda x: F.when(looks_like_heading(x), bound(heading_key(x), section_of))
+    found_in = ls.withColumn("_hs", F.filter(F.transform("_ls", lambda x, i: F.struct(i.alias("at"), mark(x).alias("sec"))), lambda h: h["sec"].isNotNull()))
+    heads = found_in.withColumn("_hs", F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit("other").alias("sec"))), "_hs"))
+    cut_up = heads.withColumn("_bs", F.transform("_hs", lambda h, k: F.struct(h["at"].alias("at"), h["sec"].alias("sec"), F.coalesce(F.try_element_at(F.col("_hs"), k + 2)["at"], F.size("_ls")).alias("stop"))))
+
+    def lay(b: Column) -> Column:
+        first = F.greatest(b["at"], F.lit(0))
+        return F.transform(F.slice("_ls", first + 1, b["stop"] - first), lambda x, j: F.struct((first + j + 1).alias("line_no"), x.alias("line"), b["sec"].alias("section"), ((b["at"] >= 0) & (j == 0)).alias("is_heading")))
+
+    return cut_up.select(key, *keep, F.flatten(F.transform("_bs", lay)).alias("sl"))
+
+
 def sections(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, line, section, is_heading): each line's section, carried forward from the last heading; ``other`` before the first."""
-    keyed = lines(rows, key, text).withColumn("hk", F.when(looks_like_heading(F.col("line")), heading_key(F.col("line"))))
-    marked = keyed.withColumn("heading", F.when(F.col("hk").isNotNull(), section_of(F.col("hk"))))
-    carry = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    return marked.select(key, "line_no", "line", F.coalesce(F.last("heading", ignorenulls=True).over(carry), F.lit("other")).alias("section"), F.col("heading").isNotNull().alias("is_heading"))
+    # the outer form: for the inner one the optimizer infers a filter on the array's size and computes the array twice
+    return sectioned(rows.where(F.col(text).isNotNull()), key, text).select(key, F.inline_outer("sl"))
 
 
 def chunks(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..config import STUFF_MIN_SKILLS, STUFF_WORDS_PER_SKILL
 from ..functions.text import found, words_of
 
 # Patterns of the rules.
@@ -40,19 +41,21 @@ PHRASES = (
 )
 
 
-def integrity(rows: DataFrame, key: str, text: str, warnings: str, skills: str, this_year: int) -> DataFrame:
-    """(key, code, severity): one row a rule that fires on a text."""
+def integrity(rows: DataFrame, key: str, text: str, warnings: str, n_skills: str, in_work: str, this_year: int) -> DataFrame:
+    """(key, code, severity): one row a rule that fires on a text; ``n_skills`` is the number of skills it names, ``in_work`` of those shown in work."""
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.length(F.regexp_replace(t, r"^\s+|\s+$", ""))
     warned = F.coalesce(F.size(warnings), F.lit(0)) > 0
-    n_skills, n_words = F.greatest(F.coalesce(F.size(skills), F.lit(0)), F.lit(0)), F.size(words_of(F.regexp_replace(t, r"[\r\n]+", " ")))
+    n_skills, n_words = F.col(n_skills), F.size(words_of(F.regexp_replace(t, r"[\r\n]+", " ")))
+    backed = F.when(n_skills > 0, F.col(in_work) / n_skills).otherwise(1.0)
     years = F.transform(F.arrays_zip(found(t, YEAR_RANGE, 1).alias("a"), found(t, YEAR_RANGE, 2).alias("b")), lambda r: F.when(r["b"].cast("int") < r["a"].cast("int"), "timeline_inconsistent").when(r["b"].cast("int") > this_year + 1, "timeline_future"))
     first = F.try_element_at(F.filter(years, lambda x: x.isNotNull()), F.lit(1))
     supers = F.array_distinct(F.transform(found(t, SUPERLATIVE), lambda x: F.lower(x)))
     dump = F.exists(F.split(t, "\n"), lambda x: (F.regexp_count(x, F.lit(",")) >= 14) & (F.size(words_of(x)) < F.regexp_count(x, F.lit(",")) * 3))
     rule = lambda code, severity, when: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
     all_of = F.array_compact(F.array(
-        rule("skill_density", "low", (n_skills >= 32) & (n_words < n_skills * 28 * 0.4)),
+        rule("keyword_stuffing", "medium", (n_skills >= STUFF_MIN_SKILLS) & (backed < 0.12)),
+        rule("skill_density", "low", (n_skills >= STUFF_MIN_SKILLS + 10) & (backed >= 0.12) & (n_words < n_skills * STUFF_WORDS_PER_SKILL * 0.4)),
         rule("skill_dump_line", "low", dump),
         rule("prompt_injection", "high", t.rlike(INJECTION)),
         rule("timeline_inconsistent", "medium", F.coalesce(first == "timeline_inconsistent", F.lit(False))),

@@ -4,33 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import EVIDENCE_WEIGHT
 from ..functions import text as T
-from ..operators import chat, jd, quality as Q, timeline as L
-from ..session import cut, table
+from ..operators import chat, jd, quality as Q, skills as S, timeline as L
+from ..session import cut, spread, table
 
 AS_OF = (2025, 6)
 
 
-def _res(spark, d):
-    return table(spark, d, "resumes")
+def _res(spark, d, *columns):
+    """The resumes on all cores; the columns are stated where a text is moved for that."""
+    rows = table(spark, d, "resumes")
+    return spread(rows.select("resume_id", *columns)) if columns else rows
+
+
+def body_lines(sl):
+    """The lines of a sectioned text that are no headings, as (line_no, line, label)."""
+    return F.transform(F.filter(sl, lambda x: ~x["is_heading"]), lambda x: F.struct(x["line_no"].cast("int").alias("line_no"), x["line"].alias("line"), x["section"].alias("label")))
+
+
+def with_skills(spark, d, *columns, typos=False):
+    """The resumes with the skills their texts name: ``lines``, and ``hits``, each skill with its best evidence."""
+    rows = T.sectioned(_res(spark, d, "raw_text", *columns), "resume_id", "raw_text", *(["raw_text", *columns] if columns else []))
+    return S.mentions(rows.withColumn("lines", body_lines(F.col("sl"))).drop("sl"), "lines", table(spark, d, "skill_ontology"), typos=typos, best=True)
+
+
+def text_skills(spark, d):
+    return with_skills(spark, d).select("resume_id", F.explode("hits").alias("h")).select("resume_id", "h.skill_key", F.col("h.label").alias("section"), "h.line_no", "h.surface", "h.evidence")
+
+
+def text_skills_typos(spark, d):
+    """Skills that a text names with a likely typing error alone (J4): no SQL, the ratio is none of its functions."""
+    hits = with_skills(spark, d, typos=True).select("resume_id", F.explode("hits").alias("h"))
+    return hits.where("not h.exact").select("resume_id", "h.skill_key", F.col("h.label").alias("section"), "h.line_no", "h.surface", "h.evidence")
 
 
 def line_shapes(spark, d):
-    ls = T.lines(_res(spark, d), "resume_id", "raw_text")
+    ls = T.lines(_res(spark, d, "raw_text"), "resume_id", "raw_text")
     return ls.select("resume_id", "line_no", T.looks_like_heading(F.col("line")).alias("heading"))
 
 
 def section_carry_forward(spark, d):
-    return T.sections(_res(spark, d), "resume_id", "raw_text").select("resume_id", "line_no", "section", "is_heading")
+    return T.sections(_res(spark, d, "raw_text"), "resume_id", "raw_text").select("resume_id", "line_no", "section", "is_heading")
 
 
 def section_view(spark, d):
     """The sections of a text and their sizes (P20)."""
-    return T.sections(_res(spark, d), "resume_id", "raw_text").where("not is_heading").groupBy("resume_id", "section").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    return T.sections(_res(spark, d, "raw_text"), "resume_id", "raw_text").where("not is_heading").groupBy("resume_id", "section").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
 def chunk_windows(spark, d):
-    return T.chunks(_res(spark, d), "resume_id", "raw_text")
+    return T.chunks(_res(spark, d, "raw_text"), "resume_id", "raw_text")
 
 
 def contacts(spark, d):
@@ -82,11 +106,11 @@ def unique_doc_ids(spark, d):
 
 
 def timeline_entries(spark, d):
-    return L.entries(_res(spark, d), "resume_id", "raw_text", AS_OF).select("resume_id", "line_no", F.round("start", 3).alias("start"), F.round("finish", 3).alias("finish"), "kind", "is_present")
+    return L.entries(_res(spark, d, "raw_text"), "resume_id", "raw_text", AS_OF).select("resume_id", "line_no", F.round("start", 3).alias("start"), F.round("finish", 3).alias("finish"), "kind", "is_present")
 
 
 def _work(spark, d):
-    e = cut(L.entries(_res(spark, d), "resume_id", "raw_text", AS_OF))
+    e = cut(L.entries(_res(spark, d, "raw_text"), "resume_id", "raw_text", AS_OF))
     return e, e.where((F.col("kind") == "work") & ((F.col("finish") - F.col("start")) * 12 >= 1 - 1e-4))
 
 
@@ -115,13 +139,18 @@ def worst_flag(spark, d):
     return f.groupBy("resume_id").agg(F.min(F.when(F.col("severity") == "medium", 1).otherwise(2)).alias("worst"))
 
 
+def _counted(spark, d):
+    """The resumes with the number of skills their texts name, and of those shown in work and projects."""
+    rows = with_skills(spark, d, "warnings", "links", "years_experience", "experience_source")
+    return rows.withColumn("n_skills", F.size("hits")).withColumn("in_work", F.size(F.filter("hits", lambda h: h["label"].isin("experience", "projects"))))
+
+
 def integrity_rules(spark, d):
-    return Q.integrity(_res(spark, d), "resume_id", "raw_text", "warnings", "skills", AS_OF[0])
+    return Q.integrity(_counted(spark, d), "resume_id", "raw_text", "warnings", "n_skills", "in_work", AS_OF[0])
 
 
 def confidence_score(spark, d):
-    secs = T.sections(_res(spark, d), "resume_id", "raw_text").where("not is_heading").groupBy("resume_id").agg(F.collect_set("section").alias("secs"))
-    rows = _res(spark, d).join(secs, "resume_id", "left").withColumn("secs", F.coalesce("secs", F.array().cast("array<string>"))).withColumn("in_work", F.lit(2)).withColumn("n_skills", F.greatest(F.coalesce(F.size("skills"), F.lit(0)), F.lit(0)))
+    rows = _counted(spark, d).withColumn("secs", F.array_distinct(F.transform("lines", lambda x: x["label"])))
     return Q.confidence(rows, "resume_id", "raw_text", "warnings", "links", "in_work", "n_skills", "secs")
 
 
@@ -176,12 +205,19 @@ def _head(line: str = "line") -> str:
 
 _KEY = "trim(regexp_replace(lower(regexp_replace(trim(line), '^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$', '', 'g')), '\\s+', ' ', 'g'))"
 _SYN = "syn AS (" + " UNION ALL ".join(f"SELECT unnest({[x for x in v.split('|')]!r}) AS syn, '{k}' AS sec" for k, v in T.SECTION_HEADINGS.items()) + ")"
-_SEC = f"""
-WITH {_LINES}, {_SYN},
+_SEC_CTES = f"""
+{_LINES}, {_SYN},
 hd AS (SELECT *, {_head()} AS is_h, {_KEY} AS k FROM ls),
 named AS (SELECT h.*, CASE WHEN is_h THEN coalesce((SELECT min(sec) FROM syn WHERE syn = k), (SELECT arg_min(sec, struct_pack(a := -length(syn), b := syn)) FROM syn WHERE contains(k, syn) AND length(syn) >= 6 AND length(k) <= length(syn) + 18)) END AS sec0 FROM hd h),
 secs AS (SELECT resume_id, line_no, line, sec0 IS NOT NULL AS is_heading, coalesce(last_value(sec0 IGNORE NULLS) OVER (PARTITION BY resume_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'other') AS section FROM named)
 """
+_SEC = "WITH " + _SEC_CTES
+#: CTEs of the sections, the surfaces, and ``best``, each skill a text names with its best evidence.
+SCAN_CTES = _SEC_CTES + f""", {S.SQL_SURFACES}, {S.sql_mentions("(SELECT resume_id, line_no, section AS label, line FROM secs WHERE NOT is_heading)", "resume_id")},
+best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resume_id, skill_key ORDER BY CASE label {' '.join(f"WHEN '{k}' THEN {v}" for k, v in EVIDENCE_WEIGHT.items())} ELSE 0.7 END DESC, line_no, st) AS place FROM hits) WHERE place = 1),
+counted AS MATERIALIZED (SELECT r.*, coalesce(n, 0) AS n_skills, coalesce(w, 0) AS in_work FROM resumes r LEFT JOIN (SELECT resume_id, count(*) AS n, count(*) FILTER (WHERE label IN ('experience', 'projects')) AS w FROM best GROUP BY 1) USING (resume_id))
+"""
+_SCAN = "WITH RECURSIVE " + SCAN_CTES
 _NOW = AS_OF[0] + (AS_OF[1] - 1) / 12
 
 
@@ -223,6 +259,7 @@ _WORDS = "len(list_filter(regexp_split_to_array(trim(regexp_replace(coalesce(raw
 _YR = f"list_filter(list_transform(list_zip({_all(Q.YEAR_RANGE, 1)}, {_all(Q.YEAR_RANGE, 2)}), lambda r: CASE WHEN CAST(r[2] AS INTEGER) < CAST(r[1] AS INTEGER) THEN 'timeline_inconsistent' WHEN CAST(r[2] AS INTEGER) > {AS_OF[0] + 1} THEN 'timeline_future' END), lambda x: x IS NOT NULL)[1]"
 _JD = jd.sql_bullets()
 SQL = {
+    "text_skills": _SCAN + "SELECT resume_id, skill_key, label AS section, line_no, surface, left(trim(line, ' ' || chr(9) || chr(13)), 220) AS evidence FROM best",
     "line_shapes": f"WITH {_LINES} SELECT resume_id, line_no, {_head()} AS heading FROM ls",
     "section_carry_forward": _SEC + "SELECT resume_id, line_no, section, is_heading FROM secs",
     "section_view": _SEC + "SELECT resume_id, section, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM secs WHERE NOT is_heading GROUP BY 1, 2",
@@ -248,17 +285,17 @@ SQL = {
     "timeline_totals": _TL + "SELECT resume_id, n, months, span FROM tot",
     "timeline_flags": _TL + "SELECT * FROM fl",
     "worst_flag": _TL + "SELECT resume_id, CAST(min(CASE severity WHEN 'medium' THEN 1 ELSE 2 END) AS INTEGER) AS worst FROM fl GROUP BY 1",
-    "integrity_rules": " UNION ALL ".join(f"SELECT resume_id, '{c}' AS code, '{s}' AS severity FROM resumes WHERE {w}" for c, s, w in (
-        ("skill_density", "low", f"coalesce(len(skills), 0) >= 32 AND {_WORDS} < len(skills) * 28 * 0.4"),
+    "integrity_rules": _SCAN + " UNION ALL ".join(f"SELECT resume_id, '{c}' AS code, '{s}' AS severity FROM counted WHERE {w}" for c, s, w in (
+        ("keyword_stuffing", "medium", "n_skills >= 22 AND in_work / n_skills < 0.12"), ("skill_density", "low", f"n_skills >= 32 AND in_work / n_skills >= 0.12 AND {_WORDS} < n_skills * 28 * 0.4"),
         ("skill_dump_line", "low", "len(list_filter(string_split(coalesce(raw_text, ''), chr(10)), lambda x: len(regexp_extract_all(x, ',')) >= 14 AND len(list_filter(regexp_split_to_array(trim(x), '[ \\t]+'), lambda w: w <> '')) < len(regexp_extract_all(x, ',')) * 3)) > 0"),
         ("prompt_injection", "high", f"regexp_matches(coalesce(raw_text, ''), '{Q.INJECTION}')"),
         ("timeline_inconsistent", "medium", f"{_YR} = 'timeline_inconsistent'"), ("timeline_future", "low", f"{_YR} = 'timeline_future'"),
         ("unsubstantiated_claims", "low", f"len(list_distinct(list_transform({_all(Q.SUPERLATIVE)}, lambda x: lower(x)))) >= 3 AND NOT regexp_matches(coalesce(raw_text, ''), '{Q.QUANTIFIED}')"),
-        ("unreadable", "high", f"{_N} < 250"), ("very_short", "low", f"{_N} >= 250 AND {_N} < 600"), ("parse_warning", "low", f"{_N} >= 600 AND len(warnings) > 0"), ("no_skills_found", "medium", "coalesce(len(skills), 0) = 0"))),
-    "confidence_score": _SEC + f""", fs AS (SELECT resume_id, list(DISTINCT section) AS secs FROM secs WHERE NOT is_heading GROUP BY 1),
-        p AS (SELECT r.*, coalesce(secs, []) AS secs FROM resumes r LEFT JOIN fs USING (resume_id)),
+        ("unreadable", "high", f"{_N} < 250"), ("very_short", "low", f"{_N} >= 250 AND {_N} < 600"), ("parse_warning", "low", f"{_N} >= 600 AND len(warnings) > 0"), ("no_skills_found", "medium", "n_skills = 0"))),
+    "confidence_score": _SCAN + f""", fs AS (SELECT resume_id, list(DISTINCT section) AS secs FROM secs WHERE NOT is_heading GROUP BY 1),
+        p AS (SELECT r.*, coalesce(secs, []) AS secs FROM counted r LEFT JOIN fs USING (resume_id)),
         s AS (SELECT resume_id, least(1.0, len(list_distinct(list_transform({_all(Q.QUANTIFIED, 0)}, lambda x: lower(x)))) / 5) AS q, len({_all(Q.OWNERSHIP)}) AS own, len({_all(Q.FILLER)}) AS filler,
-          least(1.0, 2 / greatest(3.0, greatest(1, coalesce(len(skills), 0)) * 0.4)) AS backed, len(list_filter(secs, lambda x: x IN ('experience', 'projects', 'skills', 'education', 'certifications'))) / 5 AS depth, CASE WHEN len(links) > 0 THEN 1.0 ELSE 0.0 END AS ln,
+          least(1.0, in_work / greatest(3.0, greatest(1, n_skills) * 0.4)) AS backed, len(list_filter(secs, lambda x: x IN ('experience', 'projects', 'skills', 'education', 'certifications'))) / 5 AS depth, CASE WHEN len(links) > 0 THEN 1.0 ELSE 0.0 END AS ln,
           CASE WHEN greatest(1, {_WORDS}) < 120 THEN 0.15 WHEN {_WORDS} < 250 THEN 0.55 WHEN {_WORDS} <= 1400 THEN 1.0 ELSE 0.75 END AS sub, CASE WHEN {_N} < 250 THEN 0.35 WHEN {_N} < 600 THEN 0.8 WHEN len(warnings) > 0 THEN 0.85 ELSE 1.0 END AS parse FROM p),
         c AS (SELECT resume_id, round(100 * (q * 0.26::DOUBLE + CASE WHEN own + filler > 0 THEN own / (own + filler) ELSE 0.0 END * 0.20::DOUBLE + backed * 0.22::DOUBLE + depth * 0.12::DOUBLE + ln * 0.08::DOUBLE + sub * 0.12::DOUBLE) * parse::DOUBLE, 3) AS score FROM s)
         SELECT *, CASE WHEN score >= 70 THEN 'High' WHEN score >= 50 THEN 'Moderate' WHEN score >= 30 THEN 'Low' ELSE 'Very low' END AS band FROM c""",
@@ -273,4 +310,4 @@ SQL = {
     "intent_router": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{_q(p)}') THEN '{k}'" for k, p in chat.INTENTS) + " ELSE 'unknown' END AS intent FROM documents WHERE doc_kind = 'chat' AND text IS NOT NULL",
 }
 SQL["phrase_audit_counts"] = f"SELECT severity, count(*) AS n, count(DISTINCT category) AS categories FROM ({SQL['phrase_audit']}) GROUP BY severity"
-QUERIES = {n: globals()[n] for n in [*SQL, "chunk_windows"]}
+QUERIES = {n: globals()[n] for n in [*SQL, "chunk_windows", "text_skills_typos"]}
