@@ -45,7 +45,7 @@ class Engine:
         return Engine(self.spark, self.folder, Sliders().moved(**knobs).weights())
 
     def filter(self, **filters) -> DataFrame:
-        return V.filtered(self.ranking(), PV.flags(self.spark, self.folder), PV._have(self.spark, self.folder), **filters)
+        return V.filtered(self.ranking(), PV.flags(self.spark, self.folder), PM.have(self.spark, self.folder), **filters)
 
     def matrix(self) -> DataFrame:
         return self._q(PV.skill_matrix)
@@ -83,7 +83,7 @@ class Engine:
         named = [r["skill_key"] for r in M.surfaces(self.skills()).where(F.concat(F.lit(" "), F.lit(question.lower().strip(" ?.!")), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("surface"), F.lit(" ")))).limit(50).collect()]
         answers = {
             "compare": self.compare, "flags": self.flags, "gaps": lambda: self.coverage().where("kind = 'required'").orderBy("pct"), "who_has": lambda: self.filter(any_of=tuple(named)),
-            "who_lacks": lambda: self.ranking().join(PV._have(self.spark, self.folder).where(F.col("skill_key").isin(*named)).select("resume_id").distinct(), "resume_id", "left_anti"),
+            "who_lacks": lambda: self.ranking().join(PM.have(self.spark, self.folder).where(F.col("skill_key").isin(*named)).select("resume_id").distinct(), "resume_id", "left_anti"),
             "filter": lambda: self.filter(must_have=tuple(named)), "confidence": lambda: self.ranking().orderBy(F.col("confidence").desc_nulls_last()), "best": lambda: self.ranking().where("rank <= 3"),
             "explain": lambda: self._q(PV.ranked_report), "add_requirement": lambda: self._q(PM.extra_requirement_rerank),
         }

@@ -58,19 +58,21 @@ def identity_edges(people: DataFrame, key: str = "resume_id", name: str = "name"
     return out.groupBy("a", "b").agg(F.min("reason").alias("reason"))
 
 
-def groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, group_id): the smallest id reachable from each id, by alternating large-star and small-star rounds."""
+def groups(edges: DataFrame) -> DataFrame:
+    """(id, group_id): the smallest id reachable from each id, by alternating large-star and small-star rounds until a round changes nothing."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(max_rounds):
+    mark = lambda rows: rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = mark(e)
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("p"))
-        nxt = cut(small.select(F.col("p.x").alias("u"), F.col("p.y").alias("v")).where("u <> v").distinct())
-        if nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty():
+        e = cut(small.select(F.col("p.x").alias("u"), F.col("p.y").alias("v")).where("u <> v").distinct())
+        before, seen = seen, mark(e)
+        if before == seen:
             break
-        e = nxt
     return e.select(F.col("u").alias("id"), F.col("v").alias("group_id")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("group_id"))).distinct()
 
 

@@ -193,19 +193,19 @@ def mentions(rows: DataFrame, lines: str, ontology: DataFrame, typos: bool = Fal
 
 
 def sql_mentions(source: str, keys: str) -> str:
-    """CTEs that end in ``hits`` (keys..., line_no, label, line, st, surface, skill_key), the exact mentions of a relation (keys..., line_no, line, label); needs ``surf``."""
+    """CTEs that end in ``sk_hits`` (keys..., line_no, label, line, st, surface, skill_key), the exact mentions of a relation (keys..., line_no, line, label); needs ``surf``."""
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
     edge = lambda at: f"NOT regexp_matches(substring(norm, {at}, 1), '[a-z0-9]')"
     return f"""
-src AS MATERIALIZED (SELECT row_number() OVER () AS ln, * FROM (SELECT *, regexp_replace(lower(line), '[ \\t\\r\\f_-]+', ' ', 'g') AS norm FROM {source}) WHERE line <> ''),
-cand AS (SELECT ln, norm, surface, skill_key, unnest(list_filter(range(1, length(norm) - length(surface) + 2), lambda i: substring(norm, i, length(surface)) = surface)) AS st FROM src JOIN surf ON surface <> '' AND contains(norm, surface)),
-fits AS (SELECT *, st + length(surface) AS en FROM cand WHERE (st = 1 OR {edge('st - 1')}) AND {edge('st + length(surface)')}),
-longest AS MATERIALIZED (SELECT ln, st, max(en) AS en FROM fits GROUP BY ln, st),
-taken(ln, st, en) AS (
-  SELECT ln, min(st), arg_min(en, st) FROM longest GROUP BY ln
-  UNION ALL SELECT t.ln, min(n.st), arg_min(n.en, n.st) FROM taken t JOIN longest n ON n.ln = t.ln AND n.st >= t.en GROUP BY t.ln, t.st),
-chosen AS (SELECT f.* FROM fits f JOIN taken t ON t.ln = f.ln AND t.st = f.st AND t.en = f.en),
-hits AS MATERIALIZED (SELECT {keys}, line_no, label, line, st, surface, skill_key FROM chosen c JOIN src USING (ln) WHERE surface NOT IN ({quoted(RISKY)})
+sk_src AS MATERIALIZED (SELECT row_number() OVER () AS ln, * FROM (SELECT *, regexp_replace(lower(line), '[ \\t\\r\\f_-]+', ' ', 'g') AS norm FROM {source}) WHERE line <> ''),
+sk_cand AS (SELECT ln, norm, surface, skill_key, unnest(list_filter(range(1, length(norm) - length(surface) + 2), lambda i: substring(norm, i, length(surface)) = surface)) AS st FROM sk_src JOIN surf ON surface <> '' AND contains(norm, surface)),
+sk_fits AS (SELECT *, st + length(surface) AS en FROM sk_cand WHERE (st = 1 OR {edge('st - 1')}) AND {edge('st + length(surface)')}),
+sk_longest AS MATERIALIZED (SELECT ln, st, max(en) AS en FROM sk_fits GROUP BY ln, st),
+sk_taken(ln, st, en) AS (
+  SELECT ln, min(st), arg_min(en, st) FROM sk_longest GROUP BY ln
+  UNION ALL SELECT t.ln, min(n.st), arg_min(n.en, n.st) FROM sk_taken t JOIN sk_longest n ON n.ln = t.ln AND n.st >= t.en GROUP BY t.ln, t.st),
+sk_chosen AS (SELECT f.* FROM sk_fits f JOIN sk_taken t ON t.ln = f.ln AND t.st = f.st AND t.en = f.en),
+sk_hits AS MATERIALIZED (SELECT {keys}, line_no, label, line, st, surface, skill_key FROM sk_chosen c JOIN sk_src USING (ln) WHERE surface NOT IN ({quoted(RISKY)})
   OR (NOT coalesce(regexp_extract_all(substring(c.norm, greatest(1, st - 30), st - greatest(1, st - 30)), '[a-z]+')[-1] IN ({quoted(LABELS)}), false)
     AND ({' OR '.join(f"contains(c.norm, '{x}')" for x in CONTEXT)} OR regexp_matches(c.norm, '[,/|] *' || surface || ' *[,/|]'))))
 """

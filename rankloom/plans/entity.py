@@ -46,14 +46,6 @@ def fingerprint_duplicates(spark, d):
     return E.contained(table(spark, d, "resumes"), "resume_id", "raw_text")
 
 
-def fuzzy_vocab_join(spark, d):
-    """Typed skills of six characters or more within two edits of a canonical name: the nearest one (J4, edit-distance form)."""
-    vocab = table(spark, d, "skill_ontology").where(F.length("canonical") >= 6).select(F.lower("canonical").alias("name"), "skill_key", F.explode(F.sequence(F.length("canonical") - 2, F.length("canonical") + 2)).alias("n"))
-    typed = table(spark, d, "resumes").select(F.explode("skills").alias("s")).where("s is not null").select(F.lower(F.trim("s")).alias("typed")).where("length(typed) >= 6 and typed rlike '^[ -~]+$'").distinct()
-    j = typed.join(vocab, F.length("typed") == F.col("n")).withColumn("edits", F.levenshtein("typed", "name", 2)).where("edits >= 0")
-    return j.groupBy("typed").agg(F.min(F.struct("edits", "name", "skill_key")).alias("m")).select("typed", F.col("m.name").alias("name"), F.col("m.skill_key").alias("skill_key"), F.col("m.edits").alias("edits"))
-
-
 def fuzzy_surface_join(spark, d):
     """Typed skills of six characters or more, in any script, within two edits of a canonical name or an alias: the nearest surface (J4, edit-distance form)."""
     return E.nearest_surface(table(spark, d, "resumes").select(F.explode("skills").alias("s")), "s", table(spark, d, "skill_ontology"))
@@ -84,8 +76,5 @@ SQL = {
         FROM (SELECT p.*, p0.name FROM p JOIN p0 USING (id)) x JOIN p y ON x.nm = y.nm AND x.id < y.id""",
     "fingerprint_duplicates": """WITH f AS (SELECT resume_id, left(regexp_replace(lower(coalesce(raw_text, '')), '[^a-z0-9]+', '', 'g'), 4000) AS fp FROM resumes), g AS (SELECT * FROM f WHERE length(fp) > 300)
         SELECT a.resume_id, min(b.resume_id) AS other FROM g a JOIN g b ON a.resume_id <> b.resume_id AND CASE WHEN length(a.fp) <= length(b.fp) THEN contains(b.fp, left(a.fp, 1500)) ELSE contains(a.fp, left(b.fp, 1500)) END GROUP BY 1""",
-    "fuzzy_vocab_join": """WITH t AS (SELECT DISTINCT lower(trim(s)) AS typed FROM (SELECT unnest(skills) AS s FROM resumes) WHERE s IS NOT NULL AND regexp_matches(lower(trim(s)), '^[ -~]+$')), v AS (SELECT lower(canonical) AS name, skill_key FROM skill_ontology WHERE length(canonical) >= 6),
-        j AS (SELECT typed, name, skill_key, CAST(levenshtein(typed, name) AS INTEGER) AS edits, row_number() OVER (PARTITION BY typed ORDER BY levenshtein(typed, name), name, skill_key) AS n FROM t JOIN v ON length(typed) >= 6 AND abs(length(typed) - length(name)) <= 2 AND levenshtein(typed, name) <= 2)
-        SELECT typed, name, skill_key, edits FROM j WHERE n = 1""",
 }
 QUERIES = {n: globals()[n] for n in [*SQL, "identity_edges", "fuzzy_surface_join"]}

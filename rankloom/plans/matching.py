@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..config import Sliders, Weights
 from ..operators import matching as M
+from ..operators.skills import SQL_SURFACES
 from ..session import cut, table
+from . import texts
 
 
 def _t(spark, d):
@@ -21,11 +23,17 @@ def latest(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("job_id", "resume_id").agg(F.max(F.struct(v.alias("v"), *[F.struct(*keep).alias("k")])).alias("x")).select("job_id", "resume_id", *[F.col(f"x.k.{c}").alias(c) for c in keep])
 
 
+def have(spark, d):
+    """(resume_id, skill_key): the skills each resume lists or names in its text."""
+    listed = M.resume_skills(table(spark, d, "resumes"), table(spark, d, "skill_ontology"))
+    return cut(listed.unionByName(texts.text_skills(spark, d).select("resume_id", "skill_key")).distinct())
+
+
 def _tiers(spark, d):
     t = _t(spark, d)
     pairs = t("ranked_candidates").where("job_id is not null and resume_id is not null").select("job_id", "resume_id").distinct()
     probes = M.resolved(t("skill_matches").where("status = 'semantic'").select("job_id", "resume_id", "canonical"), "canonical", t("skill_ontology")).where("skill_key is not null")
-    return M.match_tiers(pairs, M.job_skills(t("requirements"), t("skill_ontology")), M.resume_skills(t("resumes"), t("skill_ontology")), t("skill_ontology"), probes)
+    return M.match_tiers(pairs, M.job_skills(t("requirements"), t("skill_ontology")), have(spark, d), t("skill_ontology"), probes)
 
 
 def surface_lookup(spark, d):
@@ -127,9 +135,9 @@ def extra_requirement_rerank(spark, d):
     extra = t("jobs").select("job_id", F.lit("python").alias("skill_key"), F.lit("required").alias("kind"))
     merged = base.join(extra.select("job_id", "skill_key"), ["job_id", "skill_key"], "left_anti").unionByName(extra)
     pairs = t("ranked_candidates").where("job_id is not null and resume_id is not null").select("job_id", "resume_id").distinct()
-    have = M.resume_skills(t("resumes"), onto)
+    owned = have(spark, d)
     side = lambda demanded, n: M.final_rank(
-        pairs.join(M.coverage(M.match_tiers(pairs, demanded, have, onto)).select("job_id", "resume_id", F.round(100 * F.coalesce("required", F.lit(0.0)), 3).alias("score")), ["job_id", "resume_id"], "left")
+        pairs.join(M.coverage(M.match_tiers(pairs, demanded, owned, onto)).select("job_id", "resume_id", F.round(100 * F.coalesce("required", F.lit(0.0)), 3).alias("score")), ["job_id", "resume_id"], "left")
         .withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("is_duplicate", F.lit(False)).withColumn("name", F.lit(""))
     ).select("job_id", "resume_id", F.col("rank").alias(n))
     return side(base, "was").join(side(merged, "now"), ["job_id", "resume_id"]).where("was <> now")
@@ -143,10 +151,7 @@ def legacy_rank(spark, d):
     return ranked(rows, [F.col("score").desc(), F.coalesce("doc_id", F.lit("")).asc(), F.col("resume_id").asc()], "job_id").select("job_id", "resume_id", "rank")
 
 
-_SURF = """
-surf AS (SELECT trim(regexp_replace(lower(s), '[\\s_-]+', ' ', 'g')) AS surface, min(skill_key) AS skill_key FROM (
-  SELECT skill_key, canonical AS s FROM skill_ontology UNION ALL SELECT skill_key, skill_key FROM skill_ontology UNION ALL SELECT skill_key, unnest(aliases) FROM skill_ontology) WHERE s IS NOT NULL GROUP BY 1)
-"""
+_SURF = SQL_SURFACES
 
 
 def _res(src: str, value: str) -> str:
@@ -159,11 +164,11 @@ latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, resu
   FROM ranked_candidates WHERE job_id IS NOT NULL AND resume_id IS NOT NULL) WHERE n = 1)
 """
 _B = f"""
-WITH {_SURF}, {_L},
+WITH RECURSIVE {texts.SCAN_CTES}, {_L},
 edges AS (SELECT skill_key, unnest(related) AS neighbour FROM skill_ontology),
 rel AS (SELECT skill_key, neighbour FROM edges WHERE skill_key <> neighbour UNION SELECT neighbour, skill_key FROM edges WHERE skill_key <> neighbour),
 demanded AS (SELECT job_id, skill_key, CASE WHEN bool_or(kind = 'required') THEN 'required' ELSE 'preferred' END AS kind FROM {_res("SELECT job_id, kind, unnest(skills) AS v FROM requirements", "v")} WHERE skill_key IS NOT NULL GROUP BY job_id, skill_key),
-have AS (SELECT DISTINCT resume_id, skill_key FROM {_res("SELECT resume_id, unnest(skills) AS v FROM resumes", "v")} WHERE skill_key IS NOT NULL),
+have AS MATERIALIZED (SELECT resume_id, skill_key FROM {_res("SELECT resume_id, unnest(skills) AS v FROM resumes", "v")} WHERE skill_key IS NOT NULL UNION SELECT resume_id, skill_key FROM sk_best),
 probes AS (SELECT DISTINCT job_id, resume_id, skill_key FROM {_res("SELECT job_id, resume_id, canonical FROM skill_matches WHERE status = 'semantic'", "canonical")} WHERE skill_key IS NOT NULL),
 pairs AS (SELECT DISTINCT job_id, resume_id FROM ranked_candidates WHERE job_id IS NOT NULL AND resume_id IS NOT NULL),
 near AS (SELECT resume_id, rel.skill_key, min(have.skill_key) AS via FROM have JOIN rel ON rel.neighbour = have.skill_key GROUP BY 1, 2),

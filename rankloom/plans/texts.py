@@ -212,10 +212,10 @@ named AS (SELECT h.*, CASE WHEN is_h THEN coalesce((SELECT min(sec) FROM syn WHE
 secs AS (SELECT resume_id, line_no, line, sec0 IS NOT NULL AS is_heading, coalesce(last_value(sec0 IGNORE NULLS) OVER (PARTITION BY resume_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'other') AS section FROM named)
 """
 _SEC = "WITH " + _SEC_CTES
-#: CTEs of the sections, the surfaces, and ``best``, each skill a text names with its best evidence.
+#: CTEs of the sections, the surfaces, and ``sk_best``, each skill a text names with its best evidence.
 SCAN_CTES = _SEC_CTES + f""", {S.SQL_SURFACES}, {S.sql_mentions("(SELECT resume_id, line_no, section AS label, line FROM secs WHERE NOT is_heading)", "resume_id")},
-best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resume_id, skill_key ORDER BY CASE label {' '.join(f"WHEN '{k}' THEN {v}" for k, v in EVIDENCE_WEIGHT.items())} ELSE 0.7 END DESC, line_no, st) AS place FROM hits) WHERE place = 1),
-counted AS MATERIALIZED (SELECT r.*, coalesce(n, 0) AS n_skills, coalesce(w, 0) AS in_work FROM resumes r LEFT JOIN (SELECT resume_id, count(*) AS n, count(*) FILTER (WHERE label IN ('experience', 'projects')) AS w FROM best GROUP BY 1) USING (resume_id))
+sk_best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resume_id, skill_key ORDER BY CASE label {' '.join(f"WHEN '{k}' THEN {v}" for k, v in EVIDENCE_WEIGHT.items())} ELSE 0.7 END DESC, line_no, st) AS place FROM sk_hits) WHERE place = 1),
+sk_counted AS MATERIALIZED (SELECT r.*, coalesce(n, 0) AS n_skills, coalesce(w, 0) AS in_work FROM resumes r LEFT JOIN (SELECT resume_id, count(*) AS n, count(*) FILTER (WHERE label IN ('experience', 'projects')) AS w FROM sk_best GROUP BY 1) USING (resume_id))
 """
 _SCAN = "WITH RECURSIVE " + SCAN_CTES
 _NOW = AS_OF[0] + (AS_OF[1] - 1) / 12
@@ -259,7 +259,7 @@ _WORDS = "len(list_filter(regexp_split_to_array(trim(regexp_replace(coalesce(raw
 _YR = f"list_filter(list_transform(list_zip({_all(Q.YEAR_RANGE, 1)}, {_all(Q.YEAR_RANGE, 2)}), lambda r: CASE WHEN CAST(r[2] AS INTEGER) < CAST(r[1] AS INTEGER) THEN 'timeline_inconsistent' WHEN CAST(r[2] AS INTEGER) > {AS_OF[0] + 1} THEN 'timeline_future' END), lambda x: x IS NOT NULL)[1]"
 _JD = jd.sql_bullets()
 SQL = {
-    "text_skills": _SCAN + "SELECT resume_id, skill_key, label AS section, line_no, surface, left(trim(line, ' ' || chr(9) || chr(13)), 220) AS evidence FROM best",
+    "text_skills": _SCAN + "SELECT resume_id, skill_key, label AS section, line_no, surface, left(trim(line, ' ' || chr(9) || chr(13)), 220) AS evidence FROM sk_best",
     "line_shapes": f"WITH {_LINES} SELECT resume_id, line_no, {_head()} AS heading FROM ls",
     "section_carry_forward": _SEC + "SELECT resume_id, line_no, section, is_heading FROM secs",
     "section_view": _SEC + "SELECT resume_id, section, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM secs WHERE NOT is_heading GROUP BY 1, 2",
@@ -285,7 +285,7 @@ SQL = {
     "timeline_totals": _TL + "SELECT resume_id, n, months, span FROM tot",
     "timeline_flags": _TL + "SELECT * FROM fl",
     "worst_flag": _TL + "SELECT resume_id, CAST(min(CASE severity WHEN 'medium' THEN 1 ELSE 2 END) AS INTEGER) AS worst FROM fl GROUP BY 1",
-    "integrity_rules": _SCAN + " UNION ALL ".join(f"SELECT resume_id, '{c}' AS code, '{s}' AS severity FROM counted WHERE {w}" for c, s, w in (
+    "integrity_rules": _SCAN + " UNION ALL ".join(f"SELECT resume_id, '{c}' AS code, '{s}' AS severity FROM sk_counted WHERE {w}" for c, s, w in (
         ("keyword_stuffing", "medium", "n_skills >= 22 AND in_work / n_skills < 0.12"), ("skill_density", "low", f"n_skills >= 32 AND in_work / n_skills >= 0.12 AND {_WORDS} < n_skills * 28 * 0.4"),
         ("skill_dump_line", "low", "len(list_filter(string_split(coalesce(raw_text, ''), chr(10)), lambda x: len(regexp_extract_all(x, ',')) >= 14 AND len(list_filter(regexp_split_to_array(trim(x), '[ \\t]+'), lambda w: w <> '')) < len(regexp_extract_all(x, ',')) * 3)) > 0"),
         ("prompt_injection", "high", f"regexp_matches(coalesce(raw_text, ''), '{Q.INJECTION}')"),
@@ -293,7 +293,7 @@ SQL = {
         ("unsubstantiated_claims", "low", f"len(list_distinct(list_transform({_all(Q.SUPERLATIVE)}, lambda x: lower(x)))) >= 3 AND NOT regexp_matches(coalesce(raw_text, ''), '{Q.QUANTIFIED}')"),
         ("unreadable", "high", f"{_N} < 250"), ("very_short", "low", f"{_N} >= 250 AND {_N} < 600"), ("parse_warning", "low", f"{_N} >= 600 AND len(warnings) > 0"), ("no_skills_found", "medium", "n_skills = 0"))),
     "confidence_score": _SCAN + f""", fs AS (SELECT resume_id, list(DISTINCT section) AS secs FROM secs WHERE NOT is_heading GROUP BY 1),
-        p AS (SELECT r.*, coalesce(secs, []) AS secs FROM counted r LEFT JOIN fs USING (resume_id)),
+        p AS (SELECT r.*, coalesce(secs, []) AS secs FROM sk_counted r LEFT JOIN fs USING (resume_id)),
         s AS (SELECT resume_id, least(1.0, len(list_distinct(list_transform({_all(Q.QUANTIFIED, 0)}, lambda x: lower(x)))) / 5) AS q, len({_all(Q.OWNERSHIP)}) AS own, len({_all(Q.FILLER)}) AS filler,
           least(1.0, in_work / greatest(3.0, greatest(1, n_skills) * 0.4)) AS backed, len(list_filter(secs, lambda x: x IN ('experience', 'projects', 'skills', 'education', 'certifications'))) / 5 AS depth, CASE WHEN len(links) > 0 THEN 1.0 ELSE 0.0 END AS ln,
           CASE WHEN greatest(1, {_WORDS}) < 120 THEN 0.15 WHEN {_WORDS} < 250 THEN 0.55 WHEN {_WORDS} <= 1400 THEN 1.0 ELSE 0.75 END AS sub, CASE WHEN {_N} < 250 THEN 0.35 WHEN {_N} < 600 THEN 0.8 WHEN len(warnings) > 0 THEN 0.85 ELSE 1.0 END AS parse FROM p),

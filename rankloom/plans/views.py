@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import matching as M, views as V
 from ..operators.ranking import ranked
 from ..session import cut, table
-from .matching import _B, _tiers, latest
+from .matching import _B, _tiers, have as _have, latest
 
 VALID = "score is not null and not isnan(score) and score between 0 and 100"
 
@@ -33,10 +33,6 @@ def flags(spark, d):
     return base.select("job_id", "resume_id", F.explode(all_of).alias("f")).select("job_id", "resume_id", "f.code", "f.severity")
 
 
-def _have(spark, d):
-    return M.resume_skills(table(spark, d, "resumes"), table(spark, d, "skill_ontology"))
-
-
 def _k(df):
     return df.select("job_id", "resume_id", "rank")
 
