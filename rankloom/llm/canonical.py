@@ -6,9 +6,10 @@ to several entries if it names several, when what is left over only qualifies
 (a level, a time span, a version). Other values go to token-set similarity:
 the value's words are matched with a name's one to one in whatever order, or
 both run together, and the edits of all words together must stay within a
-budget that grows with the name's length. A deletion index proposes the names
-worth measuring: whole names up to two edits, and names long enough for three
-edits by their halves, one of which has two edits at most.
+budget that grows with the name's length. Letter counts propose the names worth
+measuring: an edit changes them by two at most, whatever the words' order, so
+one vector comparison with the names of like length leaves out no name within
+its budget.
 
 Mapping is a narrow stage: the reference list (a checked size) travels with
 the function, each worker remembers the values it has seen, nothing is joined,
@@ -19,9 +20,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations, permutations
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -73,11 +74,12 @@ def osa(a: str, b: str, most: int) -> int:
     return min(last[-1], most + 1)
 
 
-def _deletions(word: str, most: int) -> set[str]:
-    out = {word}
-    for k in range(1, most + 1):
-        out.update("".join(word[i] for i in range(len(word)) if i not in gone) for gone in map(set, combinations(range(len(word)), k)))
-    return out
+LETTERS = 32
+
+
+def letter_counts(form: str) -> np.ndarray:
+    """How often each letter occurs, by its code modulo LETTERS."""
+    return np.bincount([ord(c) % LETTERS for c in form], minlength=LETTERS).astype(np.int16)
 
 
 def token_set_edits(a: str, b: str, most: int) -> int:
@@ -103,8 +105,6 @@ class Matcher:
         self.exact: dict[str, str] = {}
         self.tight: dict[str, str] = {}
         self.automaton = ahocorasick.Automaton()
-        self.near: dict[str, set[str]] = {}
-        self.halves: tuple[dict[str, set[str]], dict[str, set[str]]] = ({}, {})
         for rank in range(max((len(n) for _, n in entries), default=0)):  # all canonical names before all first aliases, and so on
             for key, names in entries:
                 if rank < len(names) and (flat := flat_form(names[rank])):
@@ -113,16 +113,12 @@ class Matcher:
         self.longest = max(map(len, self.exact), default=0)
         for flat, key in self.exact.items():
             self.automaton.add_word(flat, (flat, key))
-            form = compact(flat)
-            budget = edit_budget(len(form))
-            if budget == 3:
-                half = len(form) // 2
-                for index, piece in zip(self.halves, (form[:half], form[half:])):
-                    for part in _deletions(piece, 2):
-                        index.setdefault(part, set()).add(flat)
-            elif budget:
-                for part in _deletions(form, budget):
-                    self.near.setdefault(part, set()).add(flat)
+        # the names that may have edits, by length
+        self.names = sorted((n for n in self.exact if edit_budget(len(compact(n)))), key=lambda n: (len(compact(n)), n))
+        forms = [compact(n) for n in self.names]
+        self.sizes = np.array([len(f) for f in forms])
+        self.reach = 2 * np.array([edit_budget(len(f)) for f in forms])
+        self.counts = np.array([letter_counts(f) for f in forms], dtype=np.int16).reshape(-1, LETTERS)
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -147,36 +143,23 @@ class Matcher:
             at = end
         return taken, " ".join([*rest, flat[at:]])
 
-    def _candidates(self, form: str) -> set[str]:
-        names: set[str] = set()
-        if len(form) < 18:  # names in this index have 15 characters at most, and two edits
-            for part in _deletions(form, min(2, edit_budget(len(form) + 2))):
-                names |= self.near.get(part, set())
-        if len(form) > 12:
-            for n in range((len(form) - 3) // 2 - 2, (len(form) + 3) // 2 + 4):
-                for index, piece in zip(self.halves, (form[:n], form[-n:])):
-                    for part in _deletions(piece, 2):
-                        names |= index.get(part, set())
-        return names
-
     def similar(self, flat: str) -> str | None:
         """The nearest name within its edit budget, by token-set similarity; ties go to the smaller key.
 
-        Words may be in any order up to three words, beyond that in their own
-        or in alphabetical order. A value longer than the longest name can be
-        is like none.
+        A value longer than the longest name can be is like none.
         """
-        words = flat.split()
-        if len(compact(flat)) < 3 or len(flat) > self.longest + len(words) + 3:
+        form = compact(flat)
+        if not 3 <= len(form) <= self.longest + 3:
             return None
-        orders = {"".join(p) for p in permutations(words)} if len(words) <= 3 else {"".join(words), "".join(sorted(words))}
+        lo, hi = np.searchsorted(self.sizes, (len(form) - 3, len(form) + 4))
+        near = np.abs(self.counts[lo:hi] - letter_counts(form)).sum(axis=1) <= self.reach[lo:hi]
         best: tuple[float, str] | None = None
-        for name in set().union(*(self._candidates(compact(o)) for o in orders)):
-            size = len(compact(name))
+        for i in (np.flatnonzero(near) + lo).tolist():
+            name, size = self.names[i], int(self.sizes[i])
             budget = edit_budget(size)
             d = token_set_edits(flat, name, budget)
             if d <= budget:
-                rank = (d / max(len(compact(flat)), size), self.exact[name])
+                rank = (d / max(len(form), size), self.exact[name])
                 best = rank if best is None or rank < best else best
         return best[1] if best else None
 
