@@ -248,17 +248,31 @@ def classes_of(rows: DataFrame, key: str, text: str, n_keys: int, rows_a_key: in
     return rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text)).mapInArrow(lambda batches: _classes(batches, n_keys, rows_a_key), CLASS_SCHEMA)
 
 
+#: Tables of up to so many rows are broadcast.
+SMALL_ROWS = 500_000
+
+
+def _small(df: DataFrame) -> tuple[DataFrame, int]:
+    """The table computed once, marked for broadcast if its rows are counted to be few, and their number."""
+    df = cut(df)
+    n = df.count()
+    return (F.broadcast(df) if n <= SMALL_ROWS else df), n
+
+
 def _placed(hashed: DataFrame, n_classes: int, n_keys: int, least: float, block_rows: int) -> DataFrame:
     """The work each class takes part in: (key, lo, hi), and its own part, which is lo or hi."""
     # keys are counted in groups of a few first, so that only the keys of full groups need counting one by one
     groups = max(64, n_classes * n_keys // max(1, block_rows // 4))
     grouped = hashed.withColumn("key_group", F.pmod("key", F.lit(groups)))
-    full = grouped.groupBy("key_group").count().where(F.col("count") > block_rows).select("key_group")
-    hot = grouped.join(full, "key_group", "left_semi").groupBy("key").count().where(F.col("count") > block_rows).select("key")
+    full, n_full = _small(grouped.groupBy("key_group").count().where(F.col("count") > block_rows).select("key_group"))
+    hot, n_hot = _small(grouped.join(full, "key_group", "left_semi").groupBy("key").count().where(F.col("count") > block_rows).select("key")) if n_full else (None, 0)
+    if not n_hot:  # no key of more classes than a block may hold
+        zero = F.lit(0).cast("long")
+        return hashed.select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("part"), "id", "size", "s1", "s2")
     band = hashed.withColumn("band", F.floor(F.log("size") / F.log(F.lit(1 / least)) + 1e-9).cast("long"))
     bands = band.join(hot, "key", "left_semi").groupBy("key", "band").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("parts"))
     beside = W.partitionBy("key").orderBy("band")  # one row a band of a hot key
-    bands = cut(bands.select(
+    bands, _ = _small(bands.select(
         "key", "band", "parts", F.when(F.lag("band").over(beside) == F.col("band") - 1, F.lag("parts").over(beside)).otherwise(0).alias("below"), F.when(F.lead("band").over(beside) == F.col("band") + 1, F.lead("parts").over(beside)).otherwise(0).alias("above"),
     ))
     node = lambda b, p: F.shiftleft(b, 32) + p
