@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.text import found
+from . import skills
 
 # The wording that calls for each view, in the order in which they are tried.
 INTENTS = (
@@ -24,3 +27,28 @@ INTENTS = (
 def intent(question: Column) -> Column:
     """The first view whose wording a question has; ``unknown`` if none."""
     return reduce(lambda c, kv: c.when(question.rlike(kv[1]), kv[0]), INTENTS, F.when(F.lit(False), "")).otherwise("unknown")
+
+
+# How a question states years, an upper bound, beginners and a number of best ones.
+YEARS = r"(?i)(\d{1,2}(?:\.\d)?)\s*\+?\s*(?:years?|yrs?)"
+AT_MOST = r"(?i)\b(?:under|less\s+than|below|at\s+most|no\s+more\s+than)\b"
+BEGINNERS = r"(?i)\bfresher|student|no\s+experience\b"
+TOP = r"(?i)top\s*(\d{1,2})"
+THIN, SCARCE = 40, 25
+
+
+def parsed(questions: DataFrame, key: str, text: str, ontology: DataFrame, *keep: str) -> DataFrame:
+    """(key, keep..., intent, asked, years, at_most, beginners, n, refs): what a question asks for and of whom.
+
+    ``asked`` are the skills it names, ``n`` how many best ones it wants (3 if
+    it doesn't say), ``refs`` the whole numbers in it, as ranks. A null
+    question asks for nothing and is ``unknown``.
+    """
+    rows = questions.select(key, *keep, F.coalesce(F.col(text), F.lit("")).alias("q"))
+    rows = rows.withColumn("lines", F.transform(F.split("q", "\n"), lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), x.alias("line"), F.lit("skills").alias("label"))))
+    q = F.col("q")
+    return skills.mentions(rows, "lines", ontology, best=True).select(
+        key, *keep, intent(q).alias("intent"), F.array_sort(F.transform("hits", lambda h: h["skill_key"])).alias("asked"), F.nullif(F.regexp_extract(q, YEARS, 1), F.lit("")).cast("double").alias("years"),
+        q.rlike(AT_MOST).alias("at_most"), q.rlike(BEGINNERS).alias("beginners"), F.greatest(F.lit(1), F.coalesce(F.nullif(F.regexp_extract(q, TOP, 1), F.lit("")).cast("int"), F.lit(3))).alias("n"),
+        F.transform(F.filter(found(q, r"\d+"), lambda x: F.length(x) < 7), lambda x: x.cast("int")).alias("refs"),
+    )

@@ -192,11 +192,11 @@ def mentions(rows: DataFrame, lines: str, ontology: DataFrame, typos: bool = Fal
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("hits", ArrayType(StructType.fromDDL(HIT)))]))
 
 
-def sql_mentions(source: str, keys: str) -> str:
+def sql_mentions(source: str, keys: str, prefix: str = "sk") -> str:
     """CTEs that end in ``sk_hits`` (keys..., line_no, label, line, st, surface, skill_key), the exact mentions of a relation (keys..., line_no, line, label); needs ``surf``."""
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
     edge = lambda at: f"NOT regexp_matches(substring(norm, {at}, 1), '[a-z0-9]')"
-    return f"""
+    out = f"""
 sk_src AS MATERIALIZED (SELECT row_number() OVER () AS ln, * FROM (SELECT *, regexp_replace(lower(line), '[ \\t\\r\\f_-]+', ' ', 'g') AS norm FROM {source}) WHERE line <> ''),
 sk_cand AS (SELECT ln, norm, surface, skill_key, unnest(list_filter(range(1, length(norm) - length(surface) + 2), lambda i: substring(norm, i, length(surface)) = surface)) AS st FROM sk_src JOIN surf ON surface <> '' AND contains(norm, surface)),
 sk_fits AS (SELECT *, st + length(surface) AS en FROM sk_cand WHERE (st = 1 OR {edge('st - 1')}) AND {edge('st + length(surface)')}),
@@ -209,6 +209,7 @@ sk_hits AS MATERIALIZED (SELECT {keys}, line_no, label, line, st, surface, skill
   OR (NOT coalesce(regexp_extract_all(substring(c.norm, greatest(1, st - 30), st - greatest(1, st - 30)), '[a-z]+')[-1] IN ({quoted(LABELS)}), false)
     AND ({' OR '.join(f"contains(c.norm, '{x}')" for x in CONTEXT)} OR regexp_matches(c.norm, '[,/|] *' || surface || ' *[,/|]'))))
 """
+    return out.replace("sk_", f"{prefix}_")
 
 
 #: The surfaces of the ontology in SQL, as ``matching.surfaces`` makes them.
