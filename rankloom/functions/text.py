@@ -38,6 +38,11 @@ PHONE = r"(?:\+?\d{1,3}[\s-]?)?(?:\(?\d{3,5}\)?[\s.-]?)?\d{3}[\s.-]?\d{4}\b"
 LINK = r"(?i)(?:https?://|www\.)[^\s,;)<>\]]+"
 STATED_YEARS = r"(?i)(\d{1,2}(?:\.\d{1,2})?)\s*\+?\s*(?:years?|yrs?)\s*(?:\d+\s*months?\s*)?(?:of\s+)?(?:professional\s+|relevant\s+|hands[\s-]?on\s+|total\s+|overall\s+)?(?:work\s+|industry\s+|it\s+)?(?:experience|exp\b)"
 STATED_MONTHS = r"(?i)(\d{1,2})\s*\+?\s*months?\s*(?:of\s+)?(?:experience|exp\b)"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+SPAN = (
+    r"(?i)(?:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*,?\s*)?((?:19|20)[0-9]{2})\s*(?:-|–|—|to|until|through)\s*"
+    r"(?:(?:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*,?\s*)?((?:19|20)[0-9]{2})|(present|current|till date|date|now|ongoing))"
+)
 DEGREES = (
     (4, r"(?i)\b(ph\.?\s?d|doctorate|doctoral)\b"),
     (3, r"(?i)\b(m\.?\s?tech|m\.?\s?e\b|m\.?\s?sc|m\.?\s?c\.?\s?a|mba|master'?s?|post\s?graduat)"),
@@ -162,6 +167,32 @@ def stated_years(text: Column) -> Column:
     return F.coalesce(F.array_max(years), F.array_max(months) / 12)
 
 
+def span_years(text: Column, as_of: tuple[int, int]) -> Column:
+    """The years that the dated spans of a text cover, overlaps once and gaps of up to 0.1 closed; 0 without one."""
+    g = lambda i: found(text, SPAN, i)
+    month = lambda name, none: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name)), F.lit(0)), F.lit(none))
+    year, now = as_of[0], as_of[0] + as_of[1] / 12
+    raw = F.arrays_zip(g(1).alias("sm"), g(2).alias("sy"), g(3).alias("em"), g(4).alias("ey"), g(5).alias("now"))
+    span = F.transform(raw, lambda r: F.struct(
+        (r["sy"].cast("int") + (month(r["sm"], 1) - 1) / 12).alias("s"), F.when(r["now"] != "", F.lit(now)).otherwise(F.nullif(r["ey"], F.lit("")).cast("int") + month(r["em"], 12) / 12).alias("e")))
+    ok = F.array_sort(F.filter(span, lambda r: (r["s"] >= 1980) & (r["s"] <= year + 1) & (r["s"] < r["e"]) & (r["e"] <= year + 1.5)))
+
+    def add(done: Column, r: Column) -> Column:
+        joined = r["s"] <= done["reach"] + 0.1
+        return F.struct((done["total"] + F.when(joined, F.greatest(r["e"] - done["reach"], F.lit(0.0))).otherwise(r["e"] - r["s"])).alias("total"), F.greatest(r["e"], done["reach"]).alias("reach"))
+
+    return F.round(F.aggregate(ok, F.struct(F.lit(0.0).alias("total"), F.lit(-1.0).cast("double").alias("reach")), add, lambda done: done["total"]), 2)
+
+
+def experience(text: Column, work: Column, as_of: tuple[int, int]) -> Column:
+    """A struct of years and their source: stated years, else stated months, else the spans of the work and project lines (of the whole text without such), else none."""
+    years = F.array_max(F.filter(F.transform(found(text, STATED_YEARS, 1), lambda v: v.cast("double")), lambda v: (v > 0) & (v <= 45)))
+    months = F.array_max(F.filter(F.transform(found(text, STATED_MONTHS, 1), lambda v: v.cast("double")), lambda v: (v > 0) & (v <= 120)))
+    of = lambda value, source: F.struct(F.round(value, 2).alias("years"), F.lit(source).alias("source"))
+    spans = bound(span_years(F.when(work == "", text).otherwise(work), as_of), lambda v: F.when(v > 0, of(v, "computed from employment date ranges")).otherwise(of(F.lit(0.0), "no experience signal found (treated as fresher)")))
+    return F.when(years.isNotNull(), of(years, "stated in resume text")).when(months.isNotNull(), of(months / 12, "stated in months")).otherwise(spans)
+
+
 def education_level(text: Column) -> Column:
     return reduce(lambda c, d: c.when(text.rlike(d[1]), d[0]), DEGREES, F.when(F.lit(False), 0)).otherwise(0)
 

@@ -41,8 +41,8 @@ PHRASES = (
 )
 
 
-def integrity(rows: DataFrame, key: str, text: str, warnings: str, n_skills: str, in_work: str, this_year: int) -> DataFrame:
-    """(key, code, severity): one row a rule that fires on a text; ``n_skills`` is the number of skills it names, ``in_work`` of those shown in work."""
+def integrity(rows: DataFrame, key: str, text: str, warnings: str, n_skills: str, in_work: str, this_year: int, experience: str, dated_years: str) -> DataFrame:
+    """(key, code, severity): one row a rule that fires on a text; ``n_skills`` is the number of skills it names, ``in_work`` of those shown in work, ``experience`` a struct of years and source, ``dated_years`` the years its dates cover."""
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.length(F.regexp_replace(t, r"^\s+|\s+$", ""))
     warned = F.coalesce(F.size(warnings), F.lit(0)) > 0
@@ -56,6 +56,7 @@ def integrity(rows: DataFrame, key: str, text: str, warnings: str, n_skills: str
     all_of = F.array_compact(F.array(
         rule("keyword_stuffing", "medium", (n_skills >= STUFF_MIN_SKILLS) & (backed < 0.12)),
         rule("skill_density", "low", (n_skills >= STUFF_MIN_SKILLS + 10) & (backed >= 0.12) & (n_words < n_skills * STUFF_WORDS_PER_SKILL * 0.4)),
+        rule("experience_unsupported", "medium", F.coalesce(F.col(experience)["source"].startswith("stated") & (F.col(experience)["years"] >= 2) & (F.col(dated_years) > 0) & (F.col(experience)["years"] > F.col(dated_years) * 2 + 1), F.lit(False))),
         rule("skill_dump_line", "low", dump),
         rule("prompt_injection", "high", t.rlike(INJECTION)),
         rule("timeline_inconsistent", "medium", F.coalesce(first == "timeline_inconsistent", F.lit(False))),

@@ -74,6 +74,25 @@ def experience_regex(spark, d):
     return _res(spark, d).select("resume_id", F.round(T.stated_years(F.col("raw_text")), 4).alias("years"))
 
 
+def _work_text(lines):
+    return F.array_join(F.transform(F.filter(lines, lambda x: x["label"].isin("experience", "projects")), lambda x: x["line"]), "\n")
+
+
+def experience_years(spark, d):
+    """The years of experience and where they come from."""
+    rows = T.sectioned(_res(spark, d, "raw_text"), "resume_id", "raw_text", "raw_text").withColumn("work", _work_text(body_lines(F.col("sl"))))
+    return rows.where("raw_text is not null").select("resume_id", T.experience(F.col("raw_text"), F.col("work"), AS_OF).alias("x")).select("resume_id", "x.years", "x.source")
+
+
+def parsed_record(spark, d):
+    """What a text yields, in one row: contacts, experience, education, beginner, skills, sections."""
+    t = F.col("raw_text")
+    rows = with_skills(spark, d, "warnings").where("raw_text is not null").withColumn("x", T.experience(t, _work_text(F.col("lines")), AS_OF))
+    return rows.select(
+        "resume_id", F.try_element_at(T.found(t, T.EMAIL), F.lit(1)).alias("email"), T.first_phone(t).alias("phone"), F.col("x.years").alias("years"), F.col("x.source").alias("source"), T.education_level(t).alias("level"),
+        (t.rlike(T.STUDENT) | (F.col("x.years") == 0)).alias("fresher"), F.array_join(F.array_sort(F.transform("hits", lambda h: h["skill_key"])), ",").alias("skills"), F.array_join(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["label"]))), ",").alias("sections"))
+
+
 def education_level(spark, d):
     return _res(spark, d).select("resume_id", T.education_level(F.coalesce("raw_text", F.lit(""))).alias("level"))
 
@@ -142,11 +161,12 @@ def worst_flag(spark, d):
 def _counted(spark, d):
     """The resumes with the number of skills their texts name, and of those shown in work and projects."""
     rows = with_skills(spark, d, "warnings", "links", "years_experience", "experience_source")
+    rows = rows.withColumn("x", T.experience(F.col("raw_text"), _work_text(F.col("lines")), AS_OF)).withColumn("dated_years", T.span_years(F.col("raw_text"), AS_OF))
     return rows.withColumn("n_skills", F.size("hits")).withColumn("in_work", F.size(F.filter("hits", lambda h: h["label"].isin("experience", "projects"))))
 
 
 def integrity_rules(spark, d):
-    return Q.integrity(_counted(spark, d), "resume_id", "raw_text", "warnings", "n_skills", "in_work", AS_OF[0])
+    return Q.integrity(_counted(spark, d), "resume_id", "raw_text", "warnings", "n_skills", "in_work", AS_OF[0], "x", "dated_years")
 
 
 def confidence_score(spark, d):
@@ -175,6 +195,26 @@ def jd_classified(spark, d):
     return jd.classified(jd.bullets(table(spark, d, "jobs"), "job_id", "jd_text"), "job_id").select("job_id", "line_no", "kind", "kept")
 
 
+def _jd_mentions(spark, d, rows):
+    return S.mentions(rows.withColumn("lines", F.array(F.struct("line_no", "line", F.lit("jd").alias("label")))), "lines", table(spark, d, "skill_ontology"))
+
+
+def jd_kept(spark, d):
+    """The bullets that count as requirements: those that name a skill, or ask for something in four words or more."""
+    rows = jd.classified(jd.bullets(table(spark, d, "jobs"), "job_id", "jd_text"), "job_id")
+    return _jd_mentions(spark, d, rows).where("kept or size(hits) > 0").select("job_id", "line_no", "kind", F.size("hits").alias("skills"))
+
+
+def jd_skills(spark, d):
+    """The skills a job text demands, each once with its first evidence: required beats preferred; without any in its bullets, those of the whole text."""
+    hit = lambda rows, kind: rows.select("job_id", kind.alias("kind"), F.explode("hits").alias("h")).select("job_id", "kind", "h.line_no", "h.place", "h.skill_key")
+    listed = cut(hit(_jd_mentions(spark, d, jd.classified(jd.bullets(table(spark, d, "jobs"), "job_id", "jd_text"), "job_id")), F.col("kind")))
+    bare = table(spark, d, "jobs").where("job_id is not null").join(listed.select("job_id").distinct(), "job_id", "left_anti")
+    whole = hit(_jd_mentions(spark, d, T.lines(bare, "job_id", "jd_text").select("job_id", F.col("line_no").cast("int").alias("line_no"), "line")), F.lit("required"))
+    order = F.struct(F.when(F.col("kind") == "required", 0).otherwise(1).alias("k"), "line_no", "place")
+    return listed.unionByName(whole).groupBy("job_id", "skill_key").agg(F.min(order).alias("m")).select("job_id", "skill_key", F.when(F.col("m.k") == 0, "required").otherwise("preferred").alias("kind"), F.col("m.line_no").alias("line_no"))
+
+
 def jd_seniority(spark, d):
     return table(spark, d, "jobs").select("job_id", jd.seniority(F.coalesce("jd_text", F.lit("")), F.coalesce("min_years", F.lit(0.0))).alias("level"))
 
@@ -218,6 +258,25 @@ sk_best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION B
 sk_counted AS MATERIALIZED (SELECT r.*, coalesce(n, 0) AS n_skills, coalesce(w, 0) AS in_work FROM resumes r LEFT JOIN (SELECT resume_id, count(*) AS n, count(*) FILTER (WHERE label IN ('experience', 'projects')) AS w FROM sk_best GROUP BY 1) USING (resume_id))
 """
 _SCAN = "WITH RECURSIVE " + SCAN_CTES
+
+
+def _spans(source: str, name: str) -> str:
+    """CTEs that end in ``name`` (resume_id, dated): span_years of a relation (resume_id, t)."""
+    month = lambda i, none: f"coalesce(nullif(list_position({list(T.MONTHS)!r}, lower(x[{i}])), 0), {none})"
+    g = ", ".join(f"regexp_extract_all(t, '{T.SPAN}', {i})" for i in range(1, 6))
+    return f"""{name}0 AS (SELECT resume_id, unnest(list_zip({g})) AS x FROM {source}),
+{name}1 AS (SELECT resume_id, CAST(x[2] AS INTEGER) + ({month(1, 1)} - 1) / 12 AS s, CASE WHEN x[5] <> '' THEN {AS_OF[0] + AS_OF[1] / 12!r} ELSE TRY_CAST(nullif(x[4], '') AS INTEGER) + {month(3, 12)} / 12 END AS e FROM {name}0),
+{name}2 AS (SELECT *, max(e) OVER (PARTITION BY resume_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {name}1 WHERE s >= 1980 AND s <= {AS_OF[0] + 1} AND s < e AND e <= {AS_OF[0] + 1.5}),
+{name} AS (SELECT resume_id, round(sum(CASE WHEN reach IS NULL OR s > reach + 0.1 THEN e - s ELSE greatest(e - reach, 0.0) END), 2) AS dated FROM {name}2 GROUP BY 1)"""
+
+
+_EXP = f""", wt AS (SELECT r.resume_id, coalesce(w, '') AS w, CASE WHEN coalesce(w, '') = '' THEN raw_text ELSE w END AS t FROM resumes r LEFT JOIN (SELECT resume_id, string_agg(line, chr(10) ORDER BY line_no) AS w FROM secs WHERE NOT is_heading AND section IN ('experience', 'projects') GROUP BY 1) USING (resume_id) WHERE raw_text IS NOT NULL),
+{_spans('wt', 'sw')}, {_spans('(SELECT resume_id, raw_text AS t FROM resumes WHERE raw_text IS NOT NULL)', 'sa')},
+ex0 AS (SELECT resume_id, list_max(list_filter(list_transform(regexp_extract_all(raw_text, '{T.STATED_YEARS}', 1), lambda v: CAST(v AS DOUBLE)), lambda v: v > 0 AND v <= 45)) AS sy,
+  list_max(list_filter(list_transform(regexp_extract_all(raw_text, '{T.STATED_MONTHS}', 1), lambda v: CAST(v AS DOUBLE)), lambda v: v > 0 AND v <= 120)) / 12 AS sm FROM resumes WHERE raw_text IS NOT NULL),
+xp AS MATERIALIZED (SELECT resume_id, round(coalesce(sy, sm, sw.dated, 0.0), 2) AS years, CASE WHEN sy IS NOT NULL THEN 'stated in resume text' WHEN sm IS NOT NULL THEN 'stated in months' WHEN sw.dated > 0 THEN 'computed from employment date ranges' ELSE 'no experience signal found (treated as fresher)' END AS source,
+  coalesce(sa.dated, 0.0) AS dated FROM ex0 LEFT JOIN sw USING (resume_id) LEFT JOIN sa USING (resume_id))
+"""
 _NOW = AS_OF[0] + (AS_OF[1] - 1) / 12
 
 
@@ -258,6 +317,7 @@ _N = "length(regexp_replace(coalesce(raw_text, ''), '^\\s+|\\s+$', '', 'g'))"
 _WORDS = "len(list_filter(regexp_split_to_array(trim(regexp_replace(coalesce(raw_text, ''), '[\\r\\n]+', ' ', 'g')), '[ \\t]+'), lambda w: w <> ''))"
 _YR = f"list_filter(list_transform(list_zip({_all(Q.YEAR_RANGE, 1)}, {_all(Q.YEAR_RANGE, 2)}), lambda r: CASE WHEN CAST(r[2] AS INTEGER) < CAST(r[1] AS INTEGER) THEN 'timeline_inconsistent' WHEN CAST(r[2] AS INTEGER) > {AS_OF[0] + 1} THEN 'timeline_future' END), lambda x: x IS NOT NULL)[1]"
 _JD = jd.sql_bullets()
+_JDS = _JD.replace("WITH l0 AS", "WITH RECURSIVE l0 AS", 1) + f", {S.SQL_SURFACES}, " + S.sql_mentions("(SELECT job_id, line_no, line, 'jd' AS label FROM cls)", "job_id", "jk").lstrip()
 SQL = {
     "text_skills": _SCAN + "SELECT resume_id, skill_key, label AS section, line_no, surface, left(trim(line, ' ' || chr(9) || chr(13)), 220) AS evidence FROM sk_best",
     "line_shapes": f"WITH {_LINES} SELECT resume_id, line_no, {_head()} AS heading FROM ls",
@@ -270,6 +330,11 @@ SQL = {
         array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(coalesce(name, '')), '{T.NAME_NOISE}', ' ', 'g'), '[^a-z ]+', ' ', 'g'), ' +'), lambda w: w <> '')), ' ') AS key FROM resumes""",
     "experience_regex": f"""SELECT resume_id, CASE WHEN raw_text IS NOT NULL THEN round(coalesce(list_max(list_filter(list_transform({_all(T.STATED_YEARS, 1)}, lambda v: CAST(v AS DOUBLE)), lambda v: v > 0 AND v <= 45)),
         list_max(list_filter(list_transform({_all(T.STATED_MONTHS, 1)}, lambda v: CAST(v AS DOUBLE)), lambda v: v > 0 AND v <= 120)) / 12), 4) END AS years FROM resumes""",
+    "experience_years": _SEC + _EXP + "SELECT resume_id, years, source FROM xp",
+    "parsed_record": _SCAN + _EXP + f"""SELECT resume_id, {_all(T.EMAIL)}[1] AS email, trim(list_filter({_all(T.PHONE)}, lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) BETWEEN 10 AND 13)[1]) AS phone, years, source,
+        CAST(CASE {" ".join(f"WHEN regexp_matches(raw_text, '{_q(p)}') THEN {n}" for n, p in T.DEGREES)} ELSE 0 END AS INTEGER) AS level, regexp_matches(raw_text, '{T.STUDENT}') OR years = 0 AS fresher,
+        coalesce((SELECT array_to_string(list_sort(list(skill_key)), ',') FROM sk_best b WHERE b.resume_id = r.resume_id), '') AS skills, coalesce((SELECT array_to_string(list_sort(list(DISTINCT section)), ',') FROM secs s WHERE s.resume_id = r.resume_id AND NOT is_heading), '') AS sections
+        FROM (SELECT resume_id, raw_text FROM resumes) r JOIN xp USING (resume_id)""",
     "education_level": "SELECT resume_id, CAST(CASE " + " ".join(f"WHEN regexp_matches(coalesce(raw_text, ''), '{_q(p)}') THEN {n}" for n, p in T.DEGREES) + " ELSE 0 END AS INTEGER) AS level FROM resumes",
     "student_marker": f"SELECT resume_id, regexp_matches(coalesce(raw_text, ''), '{T.STUDENT}') AS student FROM resumes",
     "failed_files": "SELECT doc_id, 'no text extracted' AS reason, coalesce(len(warnings), 0)::INTEGER AS n_warnings FROM resumes WHERE regexp_matches(coalesce(raw_text, ''), '^\\s*$')",
@@ -285,8 +350,8 @@ SQL = {
     "timeline_totals": _TL + "SELECT resume_id, n, months, span FROM tot",
     "timeline_flags": _TL + "SELECT * FROM fl",
     "worst_flag": _TL + "SELECT resume_id, CAST(min(CASE severity WHEN 'medium' THEN 1 ELSE 2 END) AS INTEGER) AS worst FROM fl GROUP BY 1",
-    "integrity_rules": _SCAN + " UNION ALL ".join(f"SELECT resume_id, '{c}' AS code, '{s}' AS severity FROM sk_counted WHERE {w}" for c, s, w in (
-        ("keyword_stuffing", "medium", "n_skills >= 22 AND in_work / n_skills < 0.12"), ("skill_density", "low", f"n_skills >= 32 AND in_work / n_skills >= 0.12 AND {_WORDS} < n_skills * 28 * 0.4"),
+    "integrity_rules": _SCAN + _EXP + " UNION ALL ".join(f"SELECT resume_id, '{c}' AS code, '{s}' AS severity FROM sk_counted WHERE {w}" for c, s, w in (
+        ("experience_unsupported", "medium", "resume_id IN (SELECT resume_id FROM xp WHERE source LIKE 'stated%' AND years >= 2 AND dated > 0 AND years > dated * 2 + 1)"), ("keyword_stuffing", "medium", "n_skills >= 22 AND in_work / n_skills < 0.12"), ("skill_density", "low", f"n_skills >= 32 AND in_work / n_skills >= 0.12 AND {_WORDS} < n_skills * 28 * 0.4"),
         ("skill_dump_line", "low", "len(list_filter(string_split(coalesce(raw_text, ''), chr(10)), lambda x: len(regexp_extract_all(x, ',')) >= 14 AND len(list_filter(regexp_split_to_array(trim(x), '[ \\t]+'), lambda w: w <> '')) < len(regexp_extract_all(x, ',')) * 3)) > 0"),
         ("prompt_injection", "high", f"regexp_matches(coalesce(raw_text, ''), '{Q.INJECTION}')"),
         ("timeline_inconsistent", "medium", f"{_YR} = 'timeline_inconsistent'"), ("timeline_future", "low", f"{_YR} = 'timeline_future'"),
@@ -304,6 +369,9 @@ SQL = {
         SELECT job_id, 'overloaded' AS rule FROM c WHERE jr AND nr >= 10 UNION ALL SELECT job_id, 'experience-for-entry' FROM c WHERE jr AND min_years >= 2 UNION ALL SELECT job_id, 'all-required' FROM c WHERE np = 0 AND nr >= 6""",
     "jd_bullets": _JD + "SELECT job_id, line_no, heading, line FROM bul",
     "jd_classified": _JD + "SELECT job_id, line_no, kind, kept FROM cls",
+    "jd_kept": _JDS + "SELECT job_id, line_no, kind, coalesce(n, 0) AS skills FROM cls LEFT JOIN (SELECT job_id, line_no, count(DISTINCT skill_key) AS n FROM jk_hits GROUP BY 1, 2) USING (job_id, line_no) WHERE kept OR n > 0",
+    "jd_skills": _JDS + ", " + S.sql_mentions("(SELECT job_id, line_no, line, 'jd' AS label FROM l0 WHERE job_id NOT IN (SELECT job_id FROM jk_hits))", "job_id", "jw").lstrip() + """, jh AS (SELECT job_id, skill_key, kind, line_no, st FROM jk_hits JOIN (SELECT job_id, line_no, kind FROM cls) USING (job_id, line_no) UNION ALL SELECT job_id, skill_key, 'required', line_no, st FROM jw_hits)
+        SELECT job_id, skill_key, kind, line_no FROM (SELECT *, row_number() OVER (PARTITION BY job_id, skill_key ORDER BY CASE kind WHEN 'required' THEN 0 ELSE 1 END, line_no, st) AS n FROM jh) WHERE n = 1""",
     "jd_seniority": "SELECT job_id, CASE " + " ".join(f"WHEN regexp_matches(left(coalesce(jd_text, ''), 1200), '{p}') THEN '{k}'" for k, p in jd.SENIORITY) + " " + " ".join(f"WHEN regexp_matches(coalesce(jd_text, ''), '{p}') THEN '{k}'" for k, p in jd.SENIORITY) + " WHEN coalesce(min_years, 0) >= 6 THEN 'senior' WHEN coalesce(min_years, 0) >= 3 THEN 'mid' ELSE 'junior' END AS level FROM jobs",
     "jd_experience": f"SELECT job_id, coalesce(list_min(list_filter(list_transform(regexp_extract_all(coalesce(jd_text, ''), '{jd.EXPERIENCE}', 1), lambda v: CAST(v AS DOUBLE)), lambda v: v <= 40)), 0.0) AS least_years FROM jobs",
     "jd_responsibilities": _JD + f"SELECT job_id, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY line_no) AS n FROM cls WHERE regexp_matches(heading, '{_q(jd.DUTIES)}') AND len(list_filter(regexp_split_to_array(trim(line), '[ \\t]+'), lambda w: w <> '')) > 3) WHERE n <= 10",
