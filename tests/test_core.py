@@ -38,14 +38,19 @@ def test_ranks_are_sequential_in_any_partitioning(spark, partitions):
     assert got == want
 
 
-def test_strong_text_first_and_unrelated_last(spark):
+def test_strong_text_first_and_unrelated_last(spark, monkeypatch):
     pool = {"a": "Built REST services with React and Node.js, MongoDB storage", "b": "React pages, some Node.js", "c": "Baked bread and sold cakes", "d": ""}
     docs = spark.createDataFrame(list(pool.items()), "k string, t string")
-    bag = spark.createDataFrame([("react", 3.0), ("node.js", 3.0), ("mongodb", 2.0)], "term string, weight double")
-    got = {r["k"]: r["normalised"] for r in lexical.bm25(docs, bag, "k", "t").collect()}
-    assert got["a"] == 1.0 and got["a"] > got["b"] > got["c"] == got["d"] == 0.0
-    none = lexical.bm25(docs, bag.limit(0), "k", "t")
-    assert {r["normalised"] for r in none.collect()} == {0.0}
+    bag = spark.createDataFrame([("q", "react", 3.0), ("q", "node.js", 3.0), ("q", "mongodb", 2.0), ("p", "bread", 1.0)], "q string, term string, weight double")
+    queries = spark.createDataFrame([("q",), ("p",), ("none",), (None,)], "q string")
+    for rows in (2, 2_000_000):  # blocks of few and of all queries
+        monkeypatch.setattr(lexical, "BLOCK_ROWS", rows)
+        found = {(r["q"], r["k"]): r["normalised"] for r in lexical.bm25(docs, bag, "k", "t", "q", queries).collect()}
+        assert len(found) == 12
+        got = {k: v for (q, k), v in found.items() if q == "q"}
+        assert got["a"] == 1.0 and got["a"] > got["b"] > got["c"] == got["d"] == 0.0
+        assert {k: v for (q, k), v in found.items() if q == "p"} == {"a": 0.0, "b": 0.0, "c": 1.0, "d": 0.0} and {v for (q, _), v in found.items() if q == "none"} == {0.0}
+    assert {r["normalised"] for r in lexical.bm25(docs, bag.limit(0), "k", "t", "q", queries).collect()} == {0.0}
 
 
 def test_tokens_keep_technical_signs(spark):
