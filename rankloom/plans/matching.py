@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..config import Sliders, Weights
-from ..operators import matching as M
+from ..operators import lexical, matching as M
 from ..operators.skills import SQL_SURFACES
 from ..session import cut, table
-from . import texts
+from . import retrieval, texts
 
 
 def _t(spark, d):
@@ -29,11 +31,11 @@ def have(spark, d):
     return cut(listed.unionByName(texts.text_skills(spark, d).select("resume_id", "skill_key")).distinct())
 
 
-def _tiers(spark, d):
+def _tiers(spark, d, demanded=None):
     t = _t(spark, d)
     pairs = t("ranked_candidates").where("job_id is not null and resume_id is not null").select("job_id", "resume_id").distinct()
     probes = M.resolved(t("skill_matches").where("status = 'semantic'").select("job_id", "resume_id", "canonical"), "canonical", t("skill_ontology")).where("skill_key is not null")
-    return M.match_tiers(pairs, M.job_skills(t("requirements"), t("skill_ontology")), have(spark, d), t("skill_ontology"), probes)
+    return M.match_tiers(pairs, M.job_skills(t("requirements"), t("skill_ontology")) if demanded is None else demanded, have(spark, d), t("skill_ontology"), probes)
 
 
 def surface_lookup(spark, d):
@@ -70,13 +72,13 @@ def _years():
     return F.when(F.isnan("years_experience") | ~F.col("years_experience").between(0, 45), 0.0).otherwise(F.coalesce("years_experience", F.lit(0.0)))
 
 
-def _features(spark, d):
+def _features(spark, d, demanded=None):
     t = _t(spark, d)
     people = t("resumes").select("resume_id", "name", _years().alias("years"), F.coalesce("education_level", F.lit(0)).alias("education"))
     jobs = t("jobs").select("job_id", F.coalesce("min_years", F.lit(0.0)).alias("need"), "seniority")
     rows = latest(spark, d).drop("doc_id").join(people, "resume_id").join(jobs, "job_id")
     rows = rows.withColumn("experience", M.experience_fit(F.col("years"), F.col("need"), F.col("seniority"), F.col("education")))
-    cover = M.coverage(_tiers(spark, d)).select("job_id", "resume_id", "required", "preferred", "exact_ratio")
+    cover = M.coverage(_tiers(spark, d, demanded)).select("job_id", "resume_id", "required", "preferred", "exact_ratio")
     rows = rows.join(cover, ["job_id", "resume_id"], "left")
     sub = lambda n: F.coalesce(F.when(~F.isnan(f"subscores.{n}"), F.col(f"subscores.{n}")), F.lit(0.0))
     return rows.select(
@@ -127,20 +129,33 @@ def reweight_movements(spark, d):
     return a.join(b, ["job_id", "resume_id"]).where("was <> now").select("job_id", "resume_id", "was", "now", (F.col("was") - F.col("now")).alias("delta"))
 
 
-def extra_requirement_rerank(spark, d):
-    """The pool re-ranked with one more required skill on every job (python), and who moved."""
-    t = _t(spark, d)
-    onto = t("skill_ontology")
-    base = M.job_skills(t("requirements"), onto)
-    extra = t("jobs").select("job_id", F.lit("python").alias("skill_key"), F.lit("required").alias("kind"))
+def _live(spark, d, bags=None, demanded=None):
+    """The features with the lexical part scored anew over the whole pool, for other bags or demanded skills if given."""
+    lex = lexical.bm25(retrieval.pool(spark, d), retrieval.bags(spark, d) if bags is None else bags, "resume_id", "raw_text", "job_id", table(spark, d, "jobs").select("job_id"))
+    f = _features(spark, d, demanded).drop("lexical").join(lex.select("job_id", "resume_id", F.col("normalised").alias("lexical")), ["job_id", "resume_id"], "left")
+    return f.withColumn("lexical", F.coalesce("lexical", F.lit(0.0))).withColumn("score", F.round(_score(Weights()), 1))
+
+
+def pipeline_rank(spark, d):
+    """Texts to ranks: skills and BM25 from the texts, experience, fusion; the semantic part is that of the stored encoder."""
+    return M.final_rank(_live(spark, d)).select("job_id", "resume_id", F.round("lexical", 4).alias("lexical"), "score", "rank")
+
+
+def rerank_with(spark, d, skills: list[str]):
+    """(job_id, resume_id, was, now, delta): who moves when every job also requires these skills; the BM25 query and the coverage are fitted anew."""
+    jobs, base = table(spark, d, "jobs").select("job_id"), M.job_skills(table(spark, d, "requirements"), table(spark, d, "skill_ontology"))
+    names = table(spark, d, "skill_ontology").where(F.col("skill_key").isin(*skills)).select("skill_key", "canonical")
+    extra = jobs.crossJoin(names).select("job_id", "skill_key", F.lit("required").alias("kind"))  # one row a job and named skill
     merged = base.join(extra.select("job_id", "skill_key"), ["job_id", "skill_key"], "left_anti").unionByName(extra)
-    pairs = t("ranked_candidates").where("job_id is not null and resume_id is not null").select("job_id", "resume_id").distinct()
-    owned = have(spark, d)
-    side = lambda demanded, n: M.final_rank(
-        pairs.join(M.coverage(M.match_tiers(pairs, demanded, owned, onto)).select("job_id", "resume_id", F.round(100 * F.coalesce("required", F.lit(0.0)), 3).alias("score")), ["job_id", "resume_id"], "left")
-        .withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("is_duplicate", F.lit(False)).withColumn("name", F.lit(""))
-    ).select("job_id", "resume_id", F.col("rank").alias(n))
-    return side(base, "was").join(side(merged, "now"), ["job_id", "resume_id"]).where("was <> now")
+    words = lexical.weighted_bag(jobs.crossJoin(names).select("job_id", F.col("canonical").alias("text"), F.lit(3.0).alias("w")), "text", "w", ("job_id",))
+    more = retrieval.bags(spark, d).unionByName(words).groupBy("job_id", "term").agg(F.max("weight").alias("weight"))
+    was = M.final_rank(_live(spark, d)).select("job_id", "resume_id", F.col("rank").alias("was"))
+    now = M.final_rank(_live(spark, d, more, merged)).select("job_id", "resume_id", F.col("rank").alias("now"))
+    return was.join(now, ["job_id", "resume_id"]).where("was <> now").select("job_id", "resume_id", "was", "now", (F.col("was") - F.col("now")).alias("delta"))
+
+
+def extra_requirement_rerank(spark, d):
+    return rerank_with(spark, d, ["python"])
 
 
 def legacy_rank(spark, d):
@@ -211,10 +226,19 @@ def _fuse(w: Weights, name: str) -> str:
 
 _RANK = "CAST(row_number() OVER (PARTITION BY job_id ORDER BY {} DESC, dup, coalesce(name, ''), resume_id) AS INTEGER)"
 _SL = [(k, s, e, Sliders(k, s, e).weights()) for k, s, e in ((0.62, 0.26, 0.12), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.3, 0.3, 0.3), (0.0, 0.0, 0.0))]
-_COVS = """SELECT p.job_id, p.resume_id, coalesce(round(100 * (sum(credit * importance) / sum(importance)), 3), 0.0) AS score FROM pairs p LEFT JOIN
-  (SELECT p.job_id, p.resume_id, o.importance, CASE WHEN h.skill_key IS NOT NULL THEN 1.0::DOUBLE WHEN n.via IS NOT NULL THEN 0.55 ELSE 0 END AS credit
-   FROM pairs p JOIN {} d USING (job_id) JOIN skill_ontology o ON o.skill_key = d.skill_key AND d.kind = 'required'
-   LEFT JOIN have h ON h.resume_id = p.resume_id AND h.skill_key = d.skill_key LEFT JOIN near n ON n.resume_id = p.resume_id AND n.skill_key = d.skill_key) t USING (job_id, resume_id) GROUP BY 1, 2"""
+
+
+def _renamed(sql: str, names: str) -> str:
+    return re.sub(rf"(?<![\w.'])({names})(?=[ .,)\n])", r"\1x", sql)
+
+
+#: BM25 beside the CTEs above, and both once more for a job that also requires one skill.
+_LEX = retrieval.LEX_CTES + """, lx AS (SELECT job_id, resume_id, round(least(1.0, sum(score) / max(sum(score)) OVER (PARTITION BY job_id)), 4) AS lex FROM part_scores GROUP BY job_id, resume_id),
+live AS (SELECT f.* REPLACE (coalesce(lex, 0.0) AS lexical) FROM fit f LEFT JOIN lx ON lx.job_id = f.job_id AND lx.resume_id = f.resume_id)
+"""
+_MORE = ", more AS (SELECT job_id, skill_key, kind FROM demanded WHERE skill_key <> 'python' UNION ALL SELECT job_id, 'python', 'required' FROM jobs),\n" + _renamed(_B[_B.index("tiers0 AS ("):].replace("JOIN demanded d", "JOIN more d"), "tiers0|tiers|cov|people|base|fit") + """,
+bagx AS (SELECT job_id, term, max(weight) AS weight FROM (SELECT job_id, term, weight FROM bag UNION ALL SELECT job_id, 'python', 3.0 FROM jobs) GROUP BY 1, 2),
+""" + _renamed(retrieval.LEX_CTES[retrieval.LEX_CTES.index("part_scores AS ("):], "part_scores|bag") + _renamed(_LEX[len(retrieval.LEX_CTES):], "lx|live|part_scores|fit")
 SQL = {
     "surface_lookup": f"WITH {_SURF} SELECT * FROM surf",
     "resolve_skill_names": f"WITH {_SURF} SELECT requirement_id, v, skill_key FROM {_res('SELECT DISTINCT requirement_id, unnest(skills) AS v FROM requirements', 'v')} WHERE v IS NOT NULL",
@@ -233,11 +257,10 @@ SQL = {
         f"coalesce(round({k} / nullif({k} + {s} + {e}, 0) * 0.16 / 0.62, 6), 0.0)::DOUBLE AS lexical, coalesce(round({k} / nullif({k} + {s} + {e}, 0) * 0.12 / 0.62, 6), 0.0)::DOUBLE AS preferred, "
         f"coalesce(round({e} / nullif({k} + {s} + {e}, 0), 6), 0.0)::DOUBLE AS experience" for k, s, e, _ in _SL),
     "reweight_movements": _B + f", s AS (SELECT *, {_fuse(Weights(), 'sa')}, {_fuse(Sliders(0.2, 0.2, 0.6).weights(), 'sb')} FROM fit), r AS (SELECT job_id, resume_id, {_RANK.format('sa')} AS was, {_RANK.format('sb')} AS now FROM s) SELECT *, was - now AS delta FROM r WHERE was <> now",
-    "extra_requirement_rerank": _B + f""", more AS (SELECT job_id, skill_key, kind FROM demanded WHERE skill_key <> 'python' UNION ALL SELECT job_id, 'python', 'required' FROM jobs),
-        a AS ({_COVS.format('demanded')}), b AS ({_COVS.format('more')}),
-        ra AS (SELECT job_id, resume_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY score DESC, resume_id) AS INTEGER) AS was FROM a),
-        rb AS (SELECT job_id, resume_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY score DESC, resume_id) AS INTEGER) AS now FROM b)
-        SELECT job_id, resume_id, was, now FROM ra JOIN rb USING (job_id, resume_id) WHERE was <> now""",
+    "pipeline_rank": _B + ", " + _LEX + f", s AS (SELECT *, {_fuse(Weights(), 'score')} FROM live) SELECT job_id, resume_id, lexical, score, {_RANK.format('score')} AS rank FROM s",
+    "extra_requirement_rerank": _B + ", " + _LEX + _MORE + f""", sa AS (SELECT *, {_fuse(Weights(), 'score')} FROM live), sb AS (SELECT *, {_fuse(Weights(), 'score')} FROM livex),
+        ra AS (SELECT job_id, resume_id, {_RANK.format('score')} AS was FROM sa), rb AS (SELECT job_id, resume_id, {_RANK.format('score')} AS now FROM sb)
+        SELECT job_id, resume_id, was, now, was - now AS delta FROM ra JOIN rb USING (job_id, resume_id) WHERE was <> now""",
     "legacy_rank": f"WITH {_L} SELECT job_id, resume_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY score DESC, coalesce(doc_id, ''), resume_id) AS INTEGER) AS rank FROM latest WHERE score IS NOT NULL AND NOT isnan(score)",
 }
 QUERIES = {n: globals()[n] for n in SQL}
