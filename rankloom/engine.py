@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .config import Sliders, Weights
-from .operators import chat, matching as M, views as V
-from .plans import entity, matching as PM, retrieval, texts, views as PV
+from .operators import chat, explain as X, matching as M, views as V
+from .plans import entity, explain as PX, matching as PM, retrieval, texts, views as PV
 from .session import table
 
 
@@ -77,15 +77,38 @@ class Engine:
     def dashboard(self) -> DataFrame:
         return self._q(PV.dashboard)
 
+    def explain(self, n: int = 3) -> DataFrame:
+        """The explanations of the first n of each job."""
+        return PX.explained(self.spark, self.folder, self.ranking().where(F.col("rank") <= n))
+
+    def why_above(self, a: int = 1, b: int = 2) -> DataFrame:
+        """Why the candidate of the better of two ranks stands above the other, per job."""
+        a, b = sorted((a, b))
+        s = PX._sides(self.spark, self.folder, self.ranking().where(F.col("rank").isin(a, b)))
+        x, y = s.where(F.col("rank") == a).select("job_id", F.col("x").alias("a")), s.where(F.col("rank") == b).select("job_id", F.col("x").alias("b"))
+        return x.join(y, "job_id").select("job_id", X.comparison(F.col("a"), F.col("b")).alias("text"))
+
+    def rerank_with(self, *skills: str) -> DataFrame:
+        return PM.rerank_with(self.spark, self.folder, list(skills)).orderBy(F.abs("delta").desc(), "job_id", "now")
+
+    def parsed(self) -> DataFrame:
+        return self._q(texts.parsed_record)
+
+    def csv(self) -> DataFrame:
+        return self._q(PX.csv_rows)
+
     def ask(self, question: str) -> tuple[str, DataFrame | None]:
-        """The question's intent and the view that answers it."""
-        row = self.spark.range(1).select(chat.intent(F.lit(question)).alias("i")).first()
-        named = [r["skill_key"] for r in M.surfaces(self.skills()).where(F.concat(F.lit(" "), F.lit(question.lower().strip(" ?.!")), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("surface"), F.lit(" ")))).limit(50).collect()]
+        """The question's intent and the view that answers it; the skills, years, number and ranks it states are used."""
+        q = chat.parsed(self.spark.createDataFrame([(0, question)], "id int, q string"), "id", "q", self.skills()).first()
+        named, refs = tuple(q["asked"]), q["refs"]
+        owned = lambda: PM.have(self.spark, self.folder).where(F.col("skill_key").isin(*named)).groupBy("resume_id").agg(F.count("*").alias("matched"))
+        bounds = {"max_years" if q["at_most"] else "min_years": q["years"]} if q["years"] is not None else {}
         answers = {
-            "compare": self.compare, "flags": self.flags, "gaps": lambda: self.coverage().where("kind = 'required'").orderBy("pct"), "who_has": lambda: self.filter(any_of=tuple(named)),
-            "who_lacks": lambda: self.ranking().join(PM.have(self.spark, self.folder).where(F.col("skill_key").isin(*named)).select("resume_id").distinct(), "resume_id", "left_anti"),
-            "filter": lambda: self.filter(must_have=tuple(named)), "confidence": lambda: self.ranking().orderBy(F.col("confidence").desc_nulls_last()), "best": lambda: self.ranking().where("rank <= 3"),
-            "explain": lambda: self._q(PV.ranked_report), "add_requirement": lambda: self._q(PM.extra_requirement_rerank),
+            "compare": lambda: self.why_above(refs[0], refs[1]) if len(refs) > 1 else self.compare(), "flags": self.flags, "gaps": lambda: self.coverage().where("kind = 'required'").orderBy("pct"),
+            "who_has": lambda: self.ranking().join(owned(), "resume_id").orderBy("job_id", F.col("matched").desc(), "rank"),
+            "who_lacks": lambda: self.ranking().join(owned().where(F.col("matched") == len(named)), "resume_id", "left_anti"),
+            "filter": lambda: self.filter(must_have=named, freshers_only=q["beginners"], **bounds), "confidence": lambda: self.ranking().orderBy(F.col("confidence").desc_nulls_last()), "best": lambda: self.explain(q["n"]),
+            "explain": lambda: PX.explained(self.spark, self.folder, self.ranking().where(F.col("rank") == refs[0])) if refs else self.explain(), "add_requirement": lambda: self.rerank_with(*named),
         }
-        view = answers.get(row["i"])
-        return row["i"], view() if view else None
+        view = answers.get(q["intent"])
+        return q["intent"], view() if view else None

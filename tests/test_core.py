@@ -12,7 +12,7 @@ from rankloom.config import Sliders, Weights
 from rankloom.engine import Engine
 from rankloom.functions import text as T
 from rankloom.functions.normalize import normalized
-from rankloom.operators import chat, entity, lexical, matching, quality, timeline
+from rankloom.operators import skills, chat, entity, lexical, matching, quality, timeline
 from rankloom.operators.ranking import ranked
 from rankloom.sources import files, sinks
 from rankloom.streaming import ingest
@@ -193,5 +193,48 @@ def test_engine(spark):
     assert e.filter(min_score=0).count() == pool and e.filter(min_score=60).count() < pool
     view, answer = e.ask("who knows django")
     assert view == "who_has" and 0 < answer.count() < pool
+    assert e.ask("top 2 please")[0] == "best" and e.ask("what is the weather")[1] is None
+    assert {r["rank"] for r in e.explain(2).collect()} == {1, 2}
     assert e.reweighted(keyword=0.1).weights != e.weights and e.reweighted().weights.required == pytest.approx(0.34)
     assert {r["rank"] for r in e.rank().where("rank = 1").collect()} == {1}
+
+
+ONTOLOGY = [("python", "Python", ["py"]), ("go", "Go", ["golang"]), ("react native", "React Native", None), ("react", "React", ["react.js", "reactjs"]), ("c++", "C++", []), ("kubernetes", "Kubernetes", ["k8s"])]
+
+
+@pytest.mark.parametrize("line,keys", [
+    ("React-Native and react.js", ["react native", "react"]), ("C++, Go, Python", ["c++", "go", "python"]), ("Let us go home", []), ("Grade: Go, python", ["python"]), ("pythonic reactive", []), ("", []),
+    ("k8s / golang", ["kubernetes", "go"]), ("Kuberntes clusters", ["kubernetes"]), ("PYTHON_3", ["python"]),
+])
+def test_skills_of_a_line(spark, line, keys):
+    onto = spark.createDataFrame(ONTOLOGY, "skill_key string, canonical string, aliases array<string>")
+    assert [k for _, k, _, _ in sorted(skills.Scanner(skills.forms_of(onto))(line))] == keys
+
+
+def test_best_evidence_and_defined_cases(spark):
+    onto = spark.createDataFrame(ONTOLOGY, "skill_key string, canonical string, aliases array<string>")
+    rows = spark.createDataFrame([
+        (1, [(1, "Python and Go programming", "skills"), (2, "Python at work", "experience"), (3, "python again", "experience"), (4, None, "other")]), (2, None), (3, []), (4, [(1, "x " * 200_000 + "python", "other")]),
+    ], "id int, lines array<struct<line_no:int,line:string,label:string>>").withColumn("surface", F.lit("clash"))
+    got = {(r["id"], h["skill_key"]): (h["label"], h["line_no"]) for r in skills.mentions(rows, "lines", onto, best=True).collect() for h in r["hits"]}
+    assert got == {(1, "python"): ("experience", 2), (1, "go"): ("skills", 1), (4, "python"): ("other", 1)}
+    assert skills.mentions(rows, "lines", onto.limit(0)).select(F.size("hits")).distinct().collect() == [(0,)]
+
+
+def test_ratio_and_edits():
+    assert skills.levenshtein("kitten", "sitting", 3) == 3 and skills.levenshtein("abc", "xyz", 2) == 3
+    assert skills.indel_ratio("abcd", "abxd") == 0.75 and skills.indel_ratio("same", "same") == 1.0
+
+
+def test_span_years(spark):
+    cases = {"Jan 2020 - Dec 2020": 1.0, "2018 - 2019, Mar 2019 to Jun 2019": 2.0, "2023 - present": 2.5, "2010 - 2009": 0.0, "none": 0.0, "": 0.0, "Jan 2020 - Jun 2020\nJan 2022 - Jun 2022": 1.0}
+    for text, years in cases.items():
+        assert spark.range(1).select(T.span_years(F.lit(text), (2025, 6))).first()[0] == pytest.approx(years, abs=0.01)
+
+
+def test_sections_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, "Ann\nSKILLS\nGo\nExperience:\nwork\n"), (2, ""), (3, None)], "k int, t string")
+    df = T.sections(rows, "k", "t")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [(r["k"], r["line_no"], r["section"], r["is_heading"]) for r in df.orderBy("k", "line_no").collect()]
+    assert got == [(1, 1, "other", False), (1, 2, "skills", True), (1, 3, "skills", False), (1, 4, "experience", True), (1, 5, "experience", False), (1, 6, "experience", False), (2, 1, "other", False)]
