@@ -80,9 +80,12 @@ def docx_text(content: bytes) -> str:
 
 
 def rtf_text(raw: str) -> str:
+    """The text of an RTF file; escaped letters are those of its usual code page, and of Unicode escapes the letter itself."""
     flat = re.sub(r"\\par[d]?\b ?", "\n", raw)
-    flat = re.sub(r"\{\\\*[^{}]*\}|\\[a-z]+-?\d* ?|\\'[0-9a-f]{2}", "", flat, flags=re.I)
-    return re.sub(r"[{}]", "", flat).strip()
+    flat = re.sub(r"\{\\\*[^{}]*\}", "", flat)
+    flat = re.sub(r"\\u(-?\d+) ?(?:\\'[0-9a-f]{2}|\?)?", lambda m: chr(int(m[1]) % 65536), flat, flags=re.I)
+    flat = re.sub(r"\\'([0-9a-f]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "ignore"), flat, flags=re.I)
+    return re.sub(r"[{}]", "", re.sub(r"\\[a-z]+-?\d* ?", "", flat, flags=re.I)).strip()
 
 
 def printable_runs(content: bytes, least: int = 6) -> str:

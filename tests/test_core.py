@@ -178,13 +178,20 @@ def test_stream_folds_to_the_latest(spark, tmp_path):
 
     schema = "job_id string, resume_id long, scored_at timestamp, loaded_at timestamp, ranking_id long, score double"
     t = dt.datetime(2024, 1, 1)
-    spark.createDataFrame([("j", 1, t, t, 1, 10.0), ("j", 2, t, t, 2, 20.0)], schema).write.parquet(str(tmp_path / "in" / "p1"))
-    src = str(tmp_path / "in" / "*")
-    kind = spark.createDataFrame([], schema).schema
-    ingest.run(spark, src, kind, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    spark.createDataFrame([("j", 1, t + dt.timedelta(1), t, 3, 30.0), ("j", 2, t - dt.timedelta(1), t, 4, 5.0)], schema).write.parquet(str(tmp_path / "in" / "p2"))
-    ingest.run(spark, src, kind, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert {(r["resume_id"], r["score"]) for r in spark.read.parquet(str(tmp_path / "out" / "1")).collect()} == {(1, 30.0), (2, 20.0)}
+    src, out, kind = str(tmp_path / "in" / "*"), str(tmp_path / "out"), spark.createDataFrame([], schema).schema
+    assert ingest.current(spark, out) is None
+    arrivals = [[("j", 1, t, t, 1, 10.0), ("j", 2, t, t, 2, 20.0)], [("j", 1, t + dt.timedelta(1), t, 3, 30.0), ("j", 2, t - dt.timedelta(1), t, 4, 5.0)]] + [[("j", 3 + i, t, t, 5 + i, 1.0)] for i in range(3)]
+    for i, rows in enumerate(arrivals):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in" / f"p{i}"))
+        ingest.run(spark, src, kind, out, str(tmp_path / "cp"), compact=2).awaitTermination()
+        if i == 1:
+            assert {(r["resume_id"], r["score"]) for r in ingest.current(spark, out).collect()} == {(1, 30.0), (2, 20.0)}
+    assert {(r["resume_id"], r["score"]) for r in ingest.current(spark, out).collect()} == {(1, 30.0), (2, 20.0), (3, 1.0), (4, 1.0), (5, 1.0)}
+    assert sorted(n for n in os.listdir(out)) == ["base-1", "base-3", "delta-2", "delta-3", "delta-4"]
+
+
+def test_rtf_letters():
+    assert files.rtf_text(r"{\rtf1\ansi Ren\'e9 \u8364 ?5\par Next}") == "René €5\nNext"
 
 
 def test_engine(spark):
