@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import SEVERITY
 from ..functions.text import listed
+from .ranking import ranked
 
 #: How a cell of the skill matrix looks.
 CELL = {"exact": ("green", "Y", "has it"), "related": ("amber", "~", "related skill"), "semantic": ("amber", "~", "described"), "missing": ("red", "-", "missing")}
@@ -73,9 +74,10 @@ def rollup(tiers: DataFrame) -> DataFrame:
 
 def score_distribution(ranking: DataFrame, group: str = "job_id") -> DataFrame:
     """Least, greatest and upper median (the n div 2-th of the sorted scores, from 0)."""
-    n = F.count("*").over(W.partitionBy(group))
-    placed = ranking.select(group, "score", F.row_number().over(W.partitionBy(group).orderBy("score")).alias("i"), n.alias("n"))
-    return placed.groupBy(group).agg(F.min("score").alias("low"), F.max("score").alias("high"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2) + 1, F.col("score"))).alias("upper_median"), F.count("*").alias("n"))
+    sizes = ranking.groupBy(group).agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n"))
+    placed = ranked(ranking.select(group, "score", "resume_id"), [F.col("score").asc(), F.col("resume_id").asc()], group, "i")
+    middle = placed.join(sizes, group).where(F.col("i") == F.floor(F.col("n") / 2) + 1)
+    return middle.select(group, "low", "high", F.col("score").alias("upper_median"), "n")
 
 
 def pairwise(ranking: DataFrame, tiers: DataFrame, top: int = 3) -> DataFrame:

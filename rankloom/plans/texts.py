@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import EVIDENCE_WEIGHT
 from ..functions import text as T
 from ..operators import chat, jd, quality as Q, skills as S, timeline as L
+from ..operators.ranking import ranked
 from ..session import cut, spread, table
 
 AS_OF = (2025, 6)
@@ -117,11 +118,9 @@ def tag_strip(spark, d):
 
 
 def unique_doc_ids(spark, d):
-    """The n-th row of one person's name gets ``#n``."""
-    from pyspark.sql import Window as W
-
-    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").where("source is not null").select("doc_id", F.when(n == 1, F.col("source")).otherwise(F.concat("source", F.lit("#"), n.cast("string"))).alias("unique_id"))
+    """The n-th row of one source gets ``#n``."""
+    rows = ranked(table(spark, d, "documents").where("source is not null").select("doc_id", "source"), [F.col("doc_id").asc()], "source", "n")
+    return rows.select("doc_id", F.when(F.col("n") == 1, F.col("source")).otherwise(F.concat("source", F.lit("#"), F.col("n").cast("string"))).alias("unique_id"))
 
 
 def timeline_entries(spark, d):
