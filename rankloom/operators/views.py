@@ -47,11 +47,17 @@ def filtered(
     return ranking
 
 
-def describe_filter(min_score: Column, min_years: Column, max_years: Column, must_have: Column, freshers: Column) -> Column:
-    return F.concat_ws(
-        "; ", F.when(min_score.isNotNull(), F.concat(F.lit("score at least "), F.format_number(min_score, 0))), F.when(min_years.isNotNull(), F.concat(F.lit("at least "), F.format_number(min_years, 1), F.lit(" years"))),
-        F.when(max_years.isNotNull(), F.concat(F.lit("at most "), F.format_number(max_years, 1), F.lit(" years"))), F.when(F.size(must_have) > 0, F.concat(F.lit("must have "), listed(must_have))), F.when(freshers, "freshers only"),
-    )
+# How each filter is described.
+FILTER_TEXT = {
+    "min_score": "score >= {}", "min_years": "experience >= {} yrs", "max_years": "experience <= {} yrs", "must_have": "must have: {}", "any_of": "any of: {}", "min_education": "education level >= {}",
+    "min_confidence": "confidence >= {}", "hide_flagged": "hide flagged candidates", "max_flag_severity": "hide {}-severity flags", "freshers_only": "freshers / students only", "search": "search '{}'",
+}
+
+
+def describe_filters(**filters) -> list[str]:
+    """What the given filters of ``filtered`` ask for, in a fixed order; those that are off say nothing."""
+    on = {k: v for k, v in filters.items() if v is not None and v is not False and v != () and v != [] and v != ""}
+    return [text.format(", ".join(on[k]) if isinstance(on[k], (tuple, list)) else on[k]) for k, text in FILTER_TEXT.items() if k in on]
 
 
 def matrix(tiers: DataFrame) -> DataFrame:

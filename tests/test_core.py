@@ -12,7 +12,7 @@ from rankloom.config import Sliders, Weights
 from rankloom.engine import Engine
 from rankloom.functions import text as T
 from rankloom.functions.normalize import normalized
-from rankloom.operators import skills, chat, entity, lexical, matching, quality, timeline
+from rankloom.operators import chat, entity, lexical, matching, quality, skills, timeline, views
 from rankloom.operators.ranking import ranked
 from rankloom.sources import files, sinks
 from rankloom.streaming import ingest
@@ -249,3 +249,7 @@ def test_sections_need_no_shuffle(spark):
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     got = [(r["k"], r["line_no"], r["section"], r["is_heading"]) for r in df.orderBy("k", "line_no").collect()]
     assert got == [(1, 1, "other", False), (1, 2, "skills", True), (1, 3, "skills", False), (1, 4, "experience", True), (1, 5, "experience", False), (1, 6, "experience", False), (2, 1, "other", False)]
+
+
+def test_filters_described():
+    assert views.describe_filters(min_score=60, min_years=0, must_have=("go", "c"), hide_flagged=True, any_of=(), search=None, freshers_only=False) == ["score >= 60", "experience >= 0 yrs", "must have: go, c", "hide flagged candidates"]

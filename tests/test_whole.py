@@ -66,7 +66,7 @@ def test_fuzzy_join_has_aliases_and_all_scripts(spark):
 
 def test_vector_queries_take_a_twentieth_against_all(spark):
     e = table(spark, oracle.SMALL, "embeddings").select("vec_id").toPandas()["vec_id"]
-    rows = registered()[0]["sim_cross_all"](spark, oracle.SMALL).select("chunk", "req_no").collect()
+    rows = registered()[0]["sim_cross"](spark, oracle.SMALL).select("chunk", "req_no").collect()
     assert {(r["chunk"], r["req_no"]) for r in rows} == {(c, q) for c in e for q in e if q % 20 == 0} and len(rows) == len(e) * sum(e % 20 == 0)
 
 
@@ -75,7 +75,7 @@ def test_blocks_of_requirements_are_joined(spark):
     c, r = rng.standard_normal((7, 4)), rng.standard_normal((23, 4))
     chunks = spark.createDataFrame([(i % 3, i, 1.0, v.tolist()) for i, v in enumerate(c)], "doc int, chunk int, weight double, vector array<double>")
     reqs = spark.createDataFrame([(i, "required", v.tolist()) for i, v in enumerate(r)], "req_no int, kind string, vector array<double>")
-    got = {(x["chunk"], x["req_no"]): x["sim"] for x in semantic.similarities_in_blocks(chunks, reqs, 5).collect()}
+    got = {(x["chunk"], x["req_no"]): x["sim"] for x in semantic.similarities(chunks, reqs, 5).collect()}
     assert len(got) == 7 * 23 and all(abs(s - c[i] @ r[j]) < 1e-9 for (i, j), s in got.items())
 
 
