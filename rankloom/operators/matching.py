@@ -67,9 +67,19 @@ def match_tiers(pairs: DataFrame, demanded: DataFrame, have: DataFrame, ontology
     return out.select("job_id", "resume_id", "skill_key", "kind", "status", credit.alias("credit"), "importance", "via")
 
 
+def total(value: Column) -> Column:
+    """A sum that does not depend on the order of rows: what adding doubles leaves beyond 12 decimals is cut."""
+    return F.round(F.sum(value), 12)
+
+
+def half_up(value: Column, digits: int) -> Column:
+    """Rounded with halves up, also where a division left a half one unit too low in its last place."""
+    return F.round(F.round(value, 12), digits)
+
+
 def coverage(tiers: DataFrame) -> DataFrame:
     """(job_id, resume_id, required, preferred, exact_ratio, n_required): importance-weighted coverage; null where nothing is demanded."""
-    part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("credit") * F.col("importance"))) / F.sum(F.when(F.col("kind") == kind, F.col("importance")))
+    part = lambda kind: total(F.when(F.col("kind") == kind, F.col("credit") * F.col("importance"))) / total(F.when(F.col("kind") == kind, F.col("importance")))
     hard = (F.col("kind") == "required") & (F.col("importance") >= 0.9)
     return tiers.groupBy("job_id", "resume_id").agg(
         part("required").alias("required"), part("preferred").alias("preferred"),

@@ -61,7 +61,7 @@ def skill_match_tiers(spark, d):
 
 def coverage(spark, d):
     c = M.coverage(_tiers(spark, d))
-    return c.select("job_id", "resume_id", F.round("required", 5).alias("required"), F.round("preferred", 5).alias("preferred"), "n_required")
+    return c.select("job_id", "resume_id", M.half_up(F.col("required"), 5).alias("required"), M.half_up(F.col("preferred"), 5).alias("preferred"), "n_required")
 
 
 def hard_ratio(spark, d):
