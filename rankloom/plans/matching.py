@@ -31,11 +31,11 @@ def have(spark, d):
     return cut(listed.unionByName(texts.text_skills(spark, d).select("resume_id", "skill_key")).distinct())
 
 
-def _tiers(spark, d, demanded=None):
+def _tiers(spark, d, demanded=None, held=None):
     t = _t(spark, d)
     pairs = t("ranked_candidates").where("job_id is not null and resume_id is not null").select("job_id", "resume_id").distinct()
     probes = M.resolved(t("skill_matches").where("status = 'semantic'").select("job_id", "resume_id", "canonical"), "canonical", t("skill_ontology")).where("skill_key is not null")
-    return M.match_tiers(pairs, M.job_skills(t("requirements"), t("skill_ontology")) if demanded is None else demanded, have(spark, d), t("skill_ontology"), probes)
+    return M.match_tiers(pairs, M.job_skills(t("requirements"), t("skill_ontology")) if demanded is None else demanded, have(spark, d) if held is None else held, t("skill_ontology"), probes)
 
 
 def surface_lookup(spark, d):
@@ -72,13 +72,13 @@ def _years():
     return F.when(F.isnan("years_experience") | ~F.col("years_experience").between(0, 45), 0.0).otherwise(F.coalesce("years_experience", F.lit(0.0)))
 
 
-def _features(spark, d, demanded=None):
+def _features(spark, d, demanded=None, held=None):
     t = _t(spark, d)
     people = t("resumes").select("resume_id", "name", _years().alias("years"), F.coalesce("education_level", F.lit(0)).alias("education"))
     jobs = t("jobs").select("job_id", F.coalesce("min_years", F.lit(0.0)).alias("need"), "seniority")
     rows = latest(spark, d).drop("doc_id").join(people, "resume_id").join(jobs, "job_id")
     rows = rows.withColumn("experience", M.experience_fit(F.col("years"), F.col("need"), F.col("seniority"), F.col("education")))
-    cover = M.coverage(_tiers(spark, d, demanded)).select("job_id", "resume_id", "required", "preferred", "exact_ratio")
+    cover = M.coverage(_tiers(spark, d, demanded, held)).select("job_id", "resume_id", "required", "preferred", "exact_ratio")
     rows = rows.join(cover, ["job_id", "resume_id"], "left")
     sub = lambda n: F.coalesce(F.when(~F.isnan(f"subscores.{n}"), F.col(f"subscores.{n}")), F.lit(0.0))
     return rows.select(
@@ -129,16 +129,21 @@ def reweight_movements(spark, d):
     return a.join(b, ["job_id", "resume_id"]).where("was <> now").select("job_id", "resume_id", "was", "now", (F.col("was") - F.col("now")).alias("delta"))
 
 
-def _live(spark, d, bags=None, demanded=None):
-    """The features with the lexical part scored anew over the whole pool, for other bags or demanded skills if given."""
-    lex = lexical.bm25(retrieval.pool(spark, d), retrieval.bags(spark, d) if bags is None else bags, "resume_id", "raw_text", "job_id", table(spark, d, "jobs").select("job_id"))
-    f = _features(spark, d, demanded).drop("lexical").join(lex.select("job_id", "resume_id", F.col("normalised").alias("lexical")), ["job_id", "resume_id"], "left")
+def _lexical(spark, d, more=None):
+    """(job_id, resume_id, normalised, more): BM25 of the ranked pairs over the whole pool, also for other bags if given; computed once."""
+    jobs = table(spark, d, "jobs").select("job_id")
+    return lexical.bm25_listed(retrieval.pool(spark, d), retrieval.bags(spark, d), retrieval.ranked_pairs(spark, d), "resume_id", "raw_text", "job_id", jobs, more)
+
+
+def _live(features, lex, column="normalised"):
+    """The features with the lexical part scored anew."""
+    f = features.drop("lexical").join(lex.select("job_id", "resume_id", F.col(column).alias("lexical")), ["job_id", "resume_id"], "left")
     return f.withColumn("lexical", F.coalesce("lexical", F.lit(0.0))).withColumn("score", F.round(_score(Weights()), 1))
 
 
 def pipeline_rank(spark, d):
     """Texts to ranks: skills and BM25 from the texts, experience, fusion; the semantic part is that of the stored encoder."""
-    return M.final_rank(_live(spark, d)).select("job_id", "resume_id", F.round("lexical", 4).alias("lexical"), "score", "rank")
+    return M.final_rank(_live(_features(spark, d), _lexical(spark, d))).select("job_id", "resume_id", F.round("lexical", 4).alias("lexical"), "score", "rank")
 
 
 def rerank_with(spark, d, skills: list[str]):
@@ -149,8 +154,9 @@ def rerank_with(spark, d, skills: list[str]):
     merged = base.join(extra.select("job_id", "skill_key"), ["job_id", "skill_key"], "left_anti").unionByName(extra)
     words = lexical.weighted_bag(jobs.crossJoin(names).select("job_id", F.col("canonical").alias("text"), F.lit(3.0).alias("w")), "text", "w", ("job_id",))
     more = retrieval.bags(spark, d).unionByName(words).groupBy("job_id", "term").agg(F.max("weight").alias("weight"))
-    was = M.final_rank(_live(spark, d)).select("job_id", "resume_id", F.col("rank").alias("was"))
-    now = M.final_rank(_live(spark, d, more, merged)).select("job_id", "resume_id", F.col("rank").alias("now"))
+    lex, held = _lexical(spark, d, more), have(spark, d)
+    was = M.final_rank(_live(_features(spark, d, held=held), lex)).select("job_id", "resume_id", F.col("rank").alias("was"))
+    now = M.final_rank(_live(_features(spark, d, merged, held), lex, "more")).select("job_id", "resume_id", F.col("rank").alias("now"))
     return was.join(now, ["job_id", "resume_id"]).where("was <> now").select("job_id", "resume_id", "was", "now", (F.col("was") - F.col("now")).alias("delta"))
 
 
